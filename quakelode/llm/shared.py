@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 #: Text bytes that a Python worker expands to NumPy arrays at a time; one longer text makes a chunk of its own.
 CHUNK_BYTES = 1 << 20
@@ -54,19 +55,15 @@ def fresh(columns: list[str], *names: str) -> list[str]:
 def running_total(df: DataFrame, keys: list[str], block: Column, order: list[Column], value: str, out: str) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over the rows before this one within ``keys``, in the order of (block, order).
 
-    Two levels, so that no key has to be sorted in one task: totals by block are summed first, then each block by itself.
+    Two levels, so that no key is sorted in one task: totals by block are summed first, then each block by itself.
+    Keys, block and value must not be null, and the order must leave ties only between equal rows.
     """
-    (b, before, within) = fresh(df.columns, "block", "before", "within")
+    b, before, total = fresh([*df.columns, out], "block", "before", "total")
     rows = df.withColumn(b, block)
-    totals = rows.groupBy(*keys, b).agg(F.sum(value).alias(within))
-    w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(b)
-    totals = totals.select(*keys, b, (F.sum(within).over(w) - F.col(within)).alias(before))
-    # null keys and null blocks must meet their own totals, hence the null-safe comparison
-    right = totals.select(*(F.col(k).alias(f"{k}__r") for k in [*keys, b]), before)
-    on = [rows[k].eqNullSafe(right[f"{k}__r"]) for k in [*keys, b]]
-    joined = rows.join(right, on, "left").drop(*(f"{k}__r" for k in [*keys, b]))
+    totals = rows.groupBy(*keys, b).agg(F.sum(value).alias(total))
+    totals = totals.select(*keys, b, (F.sum(total).over(Window.partitionBy(*keys).orderBy(b)) - F.col(total)).alias(before))
     inner = Window.partitionBy(*keys, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return joined.withColumn(out, F.col(before) + F.sum(value).over(inner) - F.col(value)).drop(b, before)
+    return rows.join(totals, [*keys, b]).withColumn(out, F.col(before) + F.sum(value).over(inner) - F.col(value)).drop(b, before)
 
 
 # ---- words ----------------------------------------------------------------------------------------------------------
@@ -163,3 +160,10 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[n
             yield mix(one, int(b - a))
         else:
             yield np.zeros(0, np.uint64)
+
+
+@F.arrow_udf(LongType())
+def word_count(texts: pa.Array) -> pa.Array:
+    """Words [^\\x20\\x09-\\x0D]+ of each text; 0 for null."""
+    counts = [np.diff(words_of(data, offsets)[2]) for _, data, offsets in text_chunks(texts)]
+    return pa.array(np.concatenate(counts) if counts else np.zeros(0, np.int64), pa.int64())
