@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quakelode.llm import lengths, minhash, mixing, packing, sharding
+from quakelode.llm import cosine, lengths, minhash, mixing, neighbours, packing, sharding
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_documents(spark, sf_dir), shingle_words=4, percent=80)
 
@@ -22,6 +26,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.context_totals(lengths.length_histogram(_documents(spark, sf_dir)))
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cosine.near_duplicate_vectors(_embeddings(spark, sf_dir), least=0.95)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(_documents(spark, sf_dir), capacity=2048, end_id=0)
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
@@ -33,13 +41,18 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _embeddings(spark, sf_dir)
+    return neighbours.nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix(_documents(spark, sf_dir), weights=(3, 1, 2), share=1.5, most=2)
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_token_counts, op4_best_fit_packing, op6_sharding, op9_source_mixing)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_token_counts, op3_embedding_near_dedup, op4_best_fit_packing, op6_sharding, op8_nearest_neighbours, op9_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
