@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quakelode.llm import cosine, lengths, minhash, mixing, neighbours, packing, sharding
+from quakelode.llm import cosine, lattice, lengths, minhash, mixing, neighbours, packing, quality, sharding
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +41,12 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
+    scored = lattice.likelihoods(_documents(spark, sf_dir).withColumn("learn", F.coalesce(~held_out, F.lit(True))), "learn")
+    return scored.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _embeddings(spark, sf_dir)
     return neighbours.nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10)
@@ -51,8 +57,20 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    field = quality.train(documents, labels.where(~quality_held_out()))
+    scored = documents.select("doc_id", F.coalesce(quality_held_out(), F.lit(False)).alias("held_out"), quality.score(field, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+
+
+def quality_held_out() -> Column:
+    """Rows from whose labels the quality classifier doesn't learn."""
+    return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_token_counts, op3_embedding_near_dedup, op4_best_fit_packing, op6_sharding, op8_nearest_neighbours, op9_source_mixing)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_token_counts, op3_embedding_near_dedup, op4_best_fit_packing, op6_sharding, op7_lm_scoring, op8_nearest_neighbours, op9_source_mixing, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
