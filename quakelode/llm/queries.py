@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quakelode.llm import cosine, lattice, lengths, minhash, mixing, neighbours, packing, quality, sharding
+from quakelode.llm import cosine, lattice, lengths, licenses, minhash, mixing, neighbours, packing, quality, sharding
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_documents(spark, sf_dir)).drop("blocks")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = sharding.shard(_documents(spark, sf_dir), shards=16)
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
@@ -70,7 +74,7 @@ def quality_held_out() -> Column:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_token_counts, op3_embedding_near_dedup, op4_best_fit_packing, op6_sharding, op7_lm_scoring, op8_nearest_neighbours, op9_source_mixing, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_token_counts, op3_embedding_near_dedup, op4_best_fit_packing, op5_license_scan, op6_sharding, op7_lm_scoring, op8_nearest_neighbours, op9_source_mixing, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
