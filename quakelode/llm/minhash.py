@@ -18,8 +18,10 @@ from quakelode.llm.shared import discard, materialize, mix, shingle_sets, text_c
 BUCKETS, MANTISSA, ROWS = 128, 10, 4  #: registers a text, mantissa bits of each, registers in a band
 BANDS = BUCKETS // ROWS
 EMPTY = np.uint16(0xFFFF)
-#: Members of one band compared with each other in one task's memory.
+#: Members of one leader compared with each other in one task's memory.
 TILE = 512
+#: Shingles of all members of a tile (8 MB).
+TILE_SHINGLES = 1_000_000
 #: Ids up to this many (16 MB) are broadcast to find their texts; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -109,11 +111,15 @@ def _sets(texts: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(run, "id long, s array<long>")
 
 
+def _of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of ids, which are broadcast if they are few."""
+    return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, share: int) -> DataFrame:
     """Of pairs (a, b) those whose whole sets meet the threshold."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    ids = F.broadcast(ids) if 2 * pairs.count() <= BROADCAST_IDS else ids
-    sets = _sets(texts.join(ids, "id", "left_semi"), size)
+    sets = _sets(_of(texts, ids), size)
     sets = materialize(sets, "minhash-sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb")).cast("long")
@@ -142,27 +148,38 @@ def _estimated(pairs: DataFrame, classes: DataFrame, share: int) -> DataFrame:
     return joined.where(close("sa", "sb", F.expr("(na + nb) / 2"))).select("a", "b")
 
 
-def _across(open_bands: DataFrame, share: int) -> DataFrame:
-    """All pairs of one band whose components differ and whose estimate is plausible, by tiles; only such pairs leave a task."""
-    least = _plausible(share)
+def _within(rows: DataFrame, share: int) -> DataFrame:
+    """Links (a, b) that join different components of a leader's members, by exact comparison of whole sets in tiles.
+
+    rows: (leader, id, component, n, s). In a tile only members outside its largest component are compared, each with
+    all others at once; of the links between two components one leaves the task.
+    """
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        left, right = pdf[pdf["tile"] == i], pdf[pdf["tile"] == j]
-        x, y = (np.stack(z["bands"].to_numpy()).astype(np.int64).view(np.uint16).reshape(len(z), BUCKETS) for z in (left, right)) if len(left) and len(right) else (None, None)
-        found = []
-        for k in range(len(left) if x is not None else 0):
-            a, n, c = left["id"].iloc[k], left["n"].iloc[k], left["component"].iloc[k]
-            ok = (right["component"].to_numpy() != c) & ((i != j) | (right["id"].to_numpy() > a))
-            at = np.flatnonzero(ok)
-            if len(at):
-                at = at[estimate((y[at] == x[k]).sum(1), (right["n"].to_numpy()[at] + n) / 2) >= least]
-                found.append(pd.DataFrame({"a": np.minimum(a, right["id"].to_numpy()[at]), "b": np.maximum(a, right["id"].to_numpy()[at])}))
-        return pd.concat(found) if found else pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-
-    tiled = open_bands.withColumn("tiles", F.ceil(F.col("members") / TILE)).withColumn("tile", F.pmod(F.xxhash64("id", F.lit(3)), F.col("tiles")))
+        tile, ids, comp, n = (pdf[c].to_numpy() for c in ("tile", "id", "component", "n"))
+        none = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
+        names, comp, many = np.unique(comp, return_inverse=True, return_counts=True)
+        if len(names) == 1 or (i != j and (tile == tile[0]).all()):
+            return none
+        values, flat = np.unique(np.concatenate(pdf["s"].to_numpy()), return_inverse=True)
+        ends = np.concatenate(([0], np.cumsum(n)))
+        mark, root, found = np.zeros(len(values), np.int64), np.arange(len(names)), []
+        for k in np.flatnonzero(comp != many.argmax()):
+            mark[flat[ends[k] : ends[k + 1]]] = 1
+            common = np.add.reduceat(mark[flat], ends[:-1])
+            mark[flat[ends[k] : ends[k + 1]]] = 0
+            linked = (100 * common >= share * (n + n[k] - common)) & (root[comp] != root[comp[k]])
+            for m in np.flatnonzero(linked):
+                if root[comp[m]] != root[comp[k]]:
+                    found.append((min(ids[k], ids[m]), max(ids[k], ids[m])))
+                    root[root == root[comp[m]]] = root[comp[k]]
+        return pd.DataFrame(found, columns=["a", "b"]) if found else none
+
+    size = rows.groupBy("leader").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).alias("tiles"))
+    tiled = rows.join(size, "leader").withColumn("tile", F.pmod(F.xxhash64("id", F.lit(3)), F.col("tiles")))
     pairs = tiled.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other"))
-    return pairs.groupBy("band", "key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    return pairs.groupBy("leader", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
@@ -175,51 +192,39 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     component is that of its equals, else null, and it is never kept. Other columns play no part.
 
     Equal sets are one class from the start (128-bit sums), so copies cost one aggregation. Classes that share a band are
-    first compared with one leader of the band; bands whose members are then still in different components are compared
-    with a second leader and at last in whole, in tiles, so the number of compared pairs grows with the square of a
-    group's size only where its members really differ. Every link rests on whole sets.
+    first compared with the band's leader, the one of the smallest hash; near copies share it in most of their bands.
+    Leaders whose members are then still in different components are gone through in tiles that hold whole sets, where
+    a member of the largest component is compared only with members of others; no pairs leave a tile but one link for
+    two components. Every link rests on whole sets.
     """
     sketch = materialize(sketches(documents, id_col, text_col, shingle_words), "minhash-sketch")
     texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     classes = materialize(sketch.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("id").alias("id"), F.min("bands").alias("bands")), "minhash-classes")
     banded = classes.where("id is not null").select("id", F.posexplode("bands").alias("band", "key"))
-    order = lambda salt: F.struct(F.xxhash64("id", F.lit(salt)), "id")
-    shared = banded.groupBy("band", "key").agg(F.count("*").alias("members"), F.min(order(0)).alias("l0"), F.min(F.struct(F.xxhash64("id", "band"), "id")).alias("l1")).where("members > 1")
-    members = materialize(banded.join(shared.select("band", "key", "members", F.col("l0.id").alias("l0"), F.col("l1.id").alias("l1")), ["band", "key"]), "minhash-bands")
+    order = F.struct(F.xxhash64("id"), "id")
+    shared = banded.groupBy("band", "key").agg(F.count("*").alias("members"), F.min(order).alias("least")).where("members > 1")
+    members = banded.join(shared.select("band", "key", "members", F.col("least.id").alias("leader")), ["band", "key"]).select("id", "leader", "members")
+    members = materialize(members.groupBy("id", "leader").agg(F.max("members").alias("members")), "minhash-bands")
     # one id may stand for texts of several classes, if ids repeat
     again = sketch.where("n > 0 and id is not null").join(classes.select("f1", "f2", "n", F.col("id").alias("rep")), ["f1", "f2", "n"]).where("id <> rep").select("id", "rep")
     twice = sketch.groupBy("id").agg(F.count("*").alias("c")).where("c > 1 and id is not null").select("id")
     links = again.join(twice, "id").select(F.col("id").alias("a"), F.col("rep").alias("b"))
 
-    def stars(rows: DataFrame, leader: str) -> DataFrame:
-        return rows.where(f"id <> {leader}").select(F.least("id", leader).alias("a"), F.greatest("id", leader).alias("b")).distinct()
-
-    def joined(found: DataFrame) -> DataFrame:
-        comp = materialize(components(found), "minhash-components")
-        return members.where("members > 2").join(comp.withColumnRenamed("component", "known"), "id", "left").withColumn("component", F.coalesce("known", "id")).drop("known"), comp
-
-    def still_open(rows: DataFrame) -> DataFrame:
-        some = rows.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band", "key")
-        return rows.join(some, ["band", "key"])
-
-    pairs = materialize(_estimated(stars(members, "l0"), classes, percent), "minhash-pairs")
+    stars = members.where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+    pairs = materialize(_estimated(stars, classes, percent), "minhash-pairs")
     links = links.union(_confirmed(pairs, texts, shingle_words, percent))
-    for last in (False, True):
-        rows, comp = joined(links)
-        rest = materialize(still_open(rows), "minhash-open")
-        if rest.isEmpty():
-            break
-        if not last:
-            cut = stars(rest.where("l1 <> l0"), "l1")
-            more = materialize(_estimated(cut, classes, percent), "minhash-pairs")
-        else:
-            with_bands = rest.join(classes.select("id", "n", "bands"), "id")
-            more = materialize(_across(with_bands, percent), "minhash-pairs")
-        if more.isEmpty() and last:
-            break
-        links = links.union(_confirmed(more, texts, shingle_words, percent))
-        if last:
-            rows, comp = joined(links)
+    comp = materialize(components(links), "minhash-components")
+    # what shares a band shares its leader: leaders whose members are in several components are gone through in whole
+    rows = members.where("members > 2").select(F.col("leader"), F.explode(F.array("id", "leader")).alias("id")).distinct()
+    rows = rows.join(comp.withColumnRenamed("component", "known"), "id", "left").withColumn("component", F.coalesce("known", "id")).drop("known")
+    some = rows.groupBy("leader").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("leader")
+    rest = materialize(rows.join(some, "leader"), "minhash-open")
+    if not rest.isEmpty():
+        sets = _sets(_of(texts, rest.select("id").distinct()), shingle_words).withColumn("n", F.size("s").cast("long"))
+        sets = materialize(sets.where("n > 0"), "minhash-sets")
+        more = materialize(_within(rest.join(sets, "id"), percent), "minhash-links")
+        discard(sets)
+        comp = materialize(components(links.union(more)), "minhash-components")
     rep = sketch.join(classes.select("f1", "f2", "n", F.col("id").alias("rep")), ["f1", "f2", "n"], "left").withColumn("rep", F.coalesce("rep", "id"))
     found = rep.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("component") == F.col("id"), F.lit(False)).alias("kept"))
