@@ -72,8 +72,8 @@ def _chance(step: int) -> float:
     """How often two registers of different smallest hashes agree, with exp(step / 8) hashes in a bucket."""
     load = np.exp(step / 8)
     edges = np.concatenate([2.0**-z * (1 - np.arange(1 << MANTISSA) / (2 << MANTISSA)) for z in range(40)])
-    cells = -np.diff(np.exp(-load * np.append(edges, 0)))
-    return float((cells**2).sum() / max(cells.sum(), 1e-12) ** 2)
+    cells = np.diff(np.exp(-load * np.append(edges, 0)))
+    return float((cells**2).sum() / cells.sum() ** 2)
 
 
 def estimate(same: np.ndarray, n: np.ndarray) -> np.ndarray:

@@ -42,18 +42,18 @@ def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     """
     spark = documents.sparkSession
     src = documents.drop("size", "source_size", "target", "copies", "taken")
-    key, mark, before = fresh([*src.columns, "size", "k", "source_size", "target", "source"], "source__key", "mark", "before")
+    key, nth, mark, tie, before = fresh([*src.columns, "size", "source_size", "target"], "source_key", "source_nth", "mark", "tie", "before")
     rows = src.withColumn("size", word_count(F.col(text_col).cast("string")))
     sizes = rows.groupBy(F.col(source_col).alias("source")).agg(F.sum("size").alias("source_size"))
     sources = materialize(source_targets(sizes, weights, share, most), "mixing-sources")
-    side = sources.withColumnRenamed("source", key).withColumnRenamed("k", f"{key}__k")
+    side = sources.withColumnRenamed("source", key).withColumnRenamed("k", nth)
     side = F.broadcast(side) if sources.count() <= BROADCAST_ROWS else side
     rows = rows.join(side, rows[source_col].eqNullSafe(side[key])).drop(key)
-    rows = rows.withColumn(mark, F.xxhash64(F.lit(seed), id_col)).withColumn(f"{mark}__t", F.xxhash64(text_col))
-    order: list[Column] = [F.xxhash64(mark, F.lit(1)), F.col(mark), F.col("size"), F.col(f"{mark}__t")]
-    rows = running_total(rows, [f"{key}__k"], F.pmod(F.col(mark), F.lit(BLOCKS)), order, "size", before)
+    rows = rows.withColumn(mark, F.xxhash64(F.lit(seed), id_col)).withColumn(tie, F.xxhash64(text_col))
+    order: list[Column] = [F.xxhash64(mark, F.lit(1)), F.col(mark), F.col("size"), F.col(tie)]
+    rows = running_total(rows, [nth], F.pmod(F.col(mark), F.lit(BLOCKS)), order, "size", before)
     finish = [(F.col(before) + F.col("size") + e * F.col("source_size")) / F.col("target") for e in range(most)]
-    place = [F.struct(f.alias("f"), F.col(f"{key}__k").alias("k"), F.col(before).alias("b"), F.lit(e).alias("e")) for e, f in enumerate(finish)]
+    place = [F.struct(f.alias("f"), F.col(nth).alias("k"), F.col(before).alias("b"), F.lit(e).alias("e")) for e, f in enumerate(finish)]
     slim = materialize(rows.where("size > 0 and target > 0").select("size", F.explode(F.array(*place)).alias("p")).select("size", "p.f", "p.k", "p.b", "p.e"), "mixing-finish")
     last = _last(slim, sources.agg(F.sum("target")).first()[0] or 0.0)
     taken = [F.when((F.col("size") > 0) & (F.col("target") > 0) & (p <= last), 1).otherwise(0) for p in place] if last is not None else [F.lit(0)]
