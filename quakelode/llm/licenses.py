@@ -6,7 +6,7 @@ import math
 import re
 import string
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quakelode.llm.shared import fresh, materialize
@@ -65,6 +65,12 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
+def _table(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
+    """A small table of literals, made by the optimizer and not by Python workers."""
+    structs = [F.struct(*((v if isinstance(v, Column) else F.lit(v)).alias(n) for n, v in zip(names, r, strict=True))) for r in rows]
+    return spark.range(1, numPartitions=1).select(F.inline(F.array(*structs)))
+
+
 def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, containment: float = CONTAINMENT) -> DataFrame:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks) for each row of documents.
 
@@ -103,10 +109,10 @@ def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     cut = cut.select("row", (F.col("at") - F.when(F.col("at") > 0, F.col("shift")).otherwise(0)).cast("long").alias("first"), F.array_intersect(ordered, F.slice("w", F.col("at") + 1, BLOCK)).alias("b"))
     least = min(need)
     ends = cut.where(F.size("b") >= least).select("row", "first", "b", F.posexplode(F.slice("b", 1, F.size("b") - least + 1)).alias("i", "word"))
-    table = spark.createDataFrame(index, "template int, j int, word string, n int, need int")
+    table = _table(spark, index, ["template", "j", "word", "n", "need"])
     met = ends.join(F.broadcast(table), "word")
     met = met.where((F.size("b") >= F.col("need")) & (1 + F.least(F.size("b") - F.col("i") - 1, F.col("n") - F.col("j") - 1) >= F.col("need")))
-    whole = spark.createDataFrame([(k, s, label) for k, (s, (_, label)) in enumerate(zip(sets, texts, strict=True))], "template int, words array<string>, label string")
+    whole = _table(spark, [(k, F.array(*(F.lit(w) for w in s)), label) for k, (s, (_, label)) in enumerate(zip(sets, texts, strict=True))], ["template", "words", "label"])
     pairs = met.groupBy("row", "first", "template", "need").agg(F.first("b").alias("b")).join(F.broadcast(whole), "template")
     share = F.size(F.array_intersect("b", "words")) / F.size("words")
     hits = pairs.where(F.size(F.array_intersect("b", "words")) >= F.col("need")).select("row", "label", share.alias("share"), F.struct("template", "first", share.alias("share")).alias("block"))
