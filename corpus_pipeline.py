@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quakelode.llm import minhash, mixing, packing, quality
 from quakelode.llm.queries import quality_held_out
 from quakelode.llm.shared import fresh, materialize
+from quakelode.shipping import shipped
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +34,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, capacity=2048, end_id=0)
 
 
-STAGES = [("quality", good_documents), ("near_dedup", one_of_each), ("mixing", weighted_mix), ("packing", packed)]
+STAGES = [(name, shipped(f)) for name, f in (("quality", good_documents), ("near_dedup", one_of_each), ("mixing", weighted_mix), ("packing", packed))]
 
 #: SQL cannot express the stages; tests hold each against a brute-force version.
 ORACLE_SQL = None
