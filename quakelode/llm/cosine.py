@@ -15,6 +15,7 @@ from quakelode.llm.shared import materialize
 from quakelode.llm.vectors import common_length, matrix, stacked, usable
 
 TILE = 4096  #: vectors in a tile: 2 MB at 64 doubles each
+RANGES = 1024  #: ranges of the first component at most; what a tile can't hold of one is split by hash
 STRIP = 256  #: rows of a tile that are compared with the other tile at a time
 STEPS = (0.25, 0.5)  #: shares of the components after which pairs are given up
 SLACK = 1e-9  #: what rounding may hide in a partial sum
@@ -38,17 +39,16 @@ def principal_axes(vectors: DataFrame, col: str, length: int) -> np.ndarray:
     return np.linalg.eigh(gram.reshape(length, length))[1][:, ::-1]
 
 
-def tile_links(x: np.ndarray, y: np.ndarray, x0: np.ndarray, y0: np.ndarray, least: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def tile_links(x: np.ndarray, y: np.ndarray, least: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of two tiles (of one with itself: i < j) with cosine >= least, by strips of the first.
 
-    x, y: rotated unit vectors; x0, y0: as given. Leading components are summed for all pairs at once; a pair goes on
+    x, y: rotated unit vectors. Leading components are summed for all pairs at once; a pair goes on
     only while its sum plus the product of what is left of both norms can still reach the threshold. Pairs that go to
-    the end are decided by the cosine of the given vectors.
+    the end may miss the threshold by rounding: the cosine of the given vectors decides.
     """
     d = x.shape[1]
     cuts = sorted({max(1, int(d * s)) for s in STEPS} | {d})
     tails = [(np.sqrt((x[:, c:] ** 2).sum(1)), np.sqrt((y[:, c:] ** 2).sum(1))) for c in cuts]
-    nx, ny = np.sqrt((x0**2).sum(1)), np.sqrt((y0**2).sum(1))
     for a in range(0, len(x), STRIP):
         head = x[a : a + STRIP, : cuts[0]] @ y[:, : cuts[0]].T
         i, j = np.nonzero(head + np.outer(tails[0][0][a : a + STRIP], tails[0][1]) >= least - SLACK)
@@ -61,8 +61,6 @@ def tile_links(x: np.ndarray, y: np.ndarray, x0: np.ndarray, y0: np.ndarray, lea
             on = part + tails[k][0][i] * tails[k][1][j] >= least - SLACK
             i, j, part = i[on], j[on], part[on]
         yield i, j
-        del head
-    del nx, ny
 
 
 def _exact(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -115,25 +113,27 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     kind = dict(classes.dtypes)["v"]
     placed = materialize(classes.select("c", "v", "n").mapInArrow(rotate, f"c long, v {kind}, n long, first double"), "cosine-rotated")
     count = placed.count()
-    cuts = placed.approxQuantile("first", [k / max(1, -(-count // TILE)) for k in range(1, -(-count // TILE))], 0.005) if count > TILE else []
-    reach = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-6
+    wanted = min(RANGES, -(-count // TILE))
+    cuts = placed.approxQuantile("first", [k / wanted for k in range(1, wanted)], 0.1 / wanted) if wanted > 1 else []
     edges = F.array(*(F.lit(float(c)) for c in sorted(set(cuts)))) if cuts else F.array().cast("array<double>")
     ranged = placed.withColumn("range", F.size(F.filter(edges, lambda e: e <= F.col("first"))))
-    # a range with more vectors than a tile holds is split by hash
     bounds = ranged.groupBy("range").agg(F.min("first").alias("lo"), F.max("first").alias("hi"), F.ceil(F.count("*") / TILE).alias("parts"))
-    tiles = bounds.withColumn("part", F.explode(F.sequence(F.lit(1).cast("long"), "parts"))).select("range", "part", "lo", "hi", "parts").collect()
-    tiles = sorted(tiles, key=lambda t: (t["range"], t["part"]))
-    meets = [(t["range"], t["part"] - 1, t["parts"], i, [[min(i, j), max(i, j)] for j, o in enumerate(tiles) if o["lo"] - t["hi"] <= reach and t["lo"] - o["hi"] <= reach]) for i, t in enumerate(tiles)]
-    plan = spark.createDataFrame(meets, "range int, part long, parts long, tile int, pairs array<array<int>>")
-    parts = spark.createDataFrame(list({m[0]: m[2] for m in meets}.items()), "range int, parts long")
-    dealt = ranged.join(F.broadcast(parts), "range").withColumn("part", F.pmod(F.xxhash64("c"), F.col("parts"))).drop("parts")
-    dealt = dealt.join(F.broadcast(plan.drop("parts")), ["range", "part"]).select("c", "v", "n", "tile", F.explode("pairs").alias("pair"))
+    bounds = materialize(bounds, "cosine-bounds")
+    tile = F.col("range") * F.lit(1 << 32) + F.col("part")
+    dealt = ranged.join(F.broadcast(bounds.select("range", "parts")), "range").withColumn("part", F.pmod(F.xxhash64("c"), F.col("parts"))).select("c", "v", "n", tile.alias("tile"))
+    # two tiles meet if their ranges are as near as linked unit vectors can be; slots as wide as that make it an equi-join
+    reach = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-6
+    tiles = bounds.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select(tile.alias("tile"), "lo", "hi")
+    slots = lambda low, high: F.explode(F.sequence(F.floor(low / reach), F.floor(high / reach)))
+    left = tiles.select(F.col("tile").alias("i"), F.col("lo").alias("lo_i"), F.col("hi").alias("hi_i"), slots(F.col("lo") - reach, F.col("hi") + reach).alias("slot"))
+    right = tiles.select(F.col("tile").alias("j"), F.col("lo").alias("lo_j"), F.col("hi").alias("hi_j"), slots(F.col("lo"), F.col("hi")).alias("slot"))
+    meets = left.join(right, "slot").where("i <= j").where((F.col("lo_j") - F.col("hi_i") <= reach) & (F.col("lo_i") - F.col("hi_j") <= reach)).select("i", "j").distinct()
+    meets = materialize(meets.select(F.explode(F.array_distinct(F.array("i", "j"))).alias("tile"), "i", "j"), "cosine-meets")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = (pdf[pdf["tile"] == k] for k in (pdf["tile"].min(), pdf["tile"].max()))
         same = pdf["tile"].min() == pdf["tile"].max()
-        expected_two = int(pdf["i"].iloc[0]) != int(pdf["j"].iloc[0])
-        if same and expected_two:  # the other tile has no rows
+        if same and pdf["i"].iloc[0] != pdf["j"].iloc[0]:  # the other tile has no rows
             return pd.DataFrame({"c": [], "links": [], "other": []}).astype("int64")
         x0, y0 = stacked(left["v"], length), stacked(right["v"], length)
         x, y = ((z / np.sqrt((z**2).sum(1, keepdims=True))) @ axes for z in (x0, y0))
@@ -141,7 +141,7 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
         shift = 0 if same else len(left)
         ids = ci if same else np.concatenate((ci, cj))
         links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
-        for i, j in tile_links(x, y, x0, y0, least, same):
+        for i, j in tile_links(x, y, least, same):
             ok = _exact(x0, y0, i, j) >= least
             i, j = i[ok], j[ok]
             np.add.at(links, i, wj[j])
@@ -151,7 +151,7 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
         at = np.flatnonzero(links)
         return pd.DataFrame({"c": ids[at], "links": links[at], "other": ids[root[at]]})
 
-    met = dealt.select("c", "v", "n", "tile", F.col("pair")[0].alias("i"), F.col("pair")[1].alias("j"))
+    met = dealt.join(meets, "tile")
     found = materialize(met.groupBy("i", "j").applyInPandas(compare, "c long, links long, other long"), "cosine-links")
     links = found.groupBy("c").agg(F.sum("links").alias("links"))
     named = materialize(rows.join(classes.select("v", "c"), "v", "left").select("id", "c"), "cosine-rows")

@@ -62,9 +62,9 @@ def test_neighbours_reach_recall(spark, monkeypatch):
 
 
 def test_few_or_no_vectors(spark):
-    few = spark.createDataFrame(rows(n=6), SCHEMA)
-    got = neighbours.nearest(few, few, k=10).toPandas()
-    assert set(got.groupby("query_id").size()) == {5}
+    few = spark.createDataFrame(rows(n=11), SCHEMA)
+    got = neighbours.nearest(few, few, k=20).toPandas()
+    assert set(got.groupby("query_id").size()) == {10}
     none = spark.createDataFrame([], SCHEMA)
     assert neighbours.nearest(none, none).count() == 0 and cosine.near_duplicate_vectors(none).count() == 0
     bad = spark.createDataFrame([(1, None, 0, ""), (2, [0.0], 0, "")], SCHEMA)
