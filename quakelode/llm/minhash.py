@@ -206,13 +206,16 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     members = banded.join(shared.select("band", "key", "members", F.col("least.id").alias("leader")), ["band", "key"]).select("id", "leader", "members")
     members = materialize(members.groupBy("id", "leader").agg(F.max("members").alias("members")), "minhash-bands")
     # one id may stand for texts of several classes, if ids repeat
-    again = sketch.where("n > 0 and id is not null").join(classes.select("f1", "f2", "n", F.col("id").alias("rep")), ["f1", "f2", "n"]).where("id <> rep").select("id", "rep")
-    twice = sketch.groupBy("id").agg(F.count("*").alias("c")).where("c > 1 and id is not null").select("id")
-    links = again.join(twice, "id").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    links = None
+    twice = sketch.where("id is not null").groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id")
+    if not twice.isEmpty():
+        again = sketch.where("n > 0").join(twice, "id").join(classes.select("f1", "f2", "n", F.col("id").alias("rep")), ["f1", "f2", "n"])
+        links = again.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
 
     stars = members.where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
     pairs = materialize(_estimated(stars, classes, percent), "minhash-pairs")
-    links = links.union(_confirmed(pairs, texts, shingle_words, percent))
+    confirmed = _confirmed(pairs, texts, shingle_words, percent)
+    links = confirmed if links is None else links.union(confirmed)
     comp = materialize(components(links), "minhash-components")
     # what shares a band shares its leader: leaders whose members are in several components are gone through in whole
     rows = members.where("members > 2").select(F.col("leader"), F.explode(F.array("id", "leader")).alias("id")).distinct()
