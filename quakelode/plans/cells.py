@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quakelode.functions.geo import cell_centre, floor_cell
-from quakelode.operators import etas, features, gps, grid, learn
+from quakelode.operators import etas, features, gps, grid, learn, tables
 from quakelode.plans.catalog import r6
 from quakelode.plans.registry import Registry, albers_sql, km_sql, rounded_to
 from quakelode.sources import catalog, derived, polylines
@@ -234,7 +234,12 @@ def _asked(spark: SparkSession, positions: DataFrame) -> DataFrame:
 
 
 def _station_day(df: DataFrame, *names: str) -> DataFrame:
-    return df.select("station_id", F.datediff("issue_date", F.lit("1970-01-01").cast("date")).alias("issue_day"), *(rounded_to(F.col(n), 6).alias(n) for n in names))
+    return df.select("station_id", F.datediff("issue_date", F.lit("1970-01-01").cast("date")).alias("issue_day"), *((_untied(n) if n.startswith("base_") else rounded_to(F.col(n), 6)).alias(n) for n in names))
+
+
+def _untied(name: str):
+    """Six decimals of a mean of short decimals, which may lie on a tie where summation order decides: moved off it."""
+    return rounded_to(F.col(name) + 1e-9, 6)
 
 
 @query(_GPS + _ASKED + " select a.station_id, (a.issue_date - date '1970-01-01')::int as issue_day, " + ", ".join(f"round(n.{p}, 6) as now_{p}" for p in _PARTS) + ", " + ", ".join(f"round(y.{p}, 6) as year_{p}" for p in _PARTS) + " from asked a asof left join gps n on a.station_id = n.station_id and a.issue_date > n.date asof left join gps y on a.station_id = y.station_id and a.issue_date - 365 > y.date")
@@ -244,7 +249,7 @@ def j11_position_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _station_day(both, *(f"{k}_{p}" for k in ("now", "year") for p in _PARTS))
 
 
-@query(_GPS + _ASKED + " select a.station_id, (a.issue_date - date '1970-01-01')::int as issue_day, " + ", ".join(f"round(avg(g.{p}), 6) as base_{p}" for p in _PARTS) + " from asked a left join gps g on a.station_id = g.station_id and g.date between a.issue_date - 395 and a.issue_date - 30 group by 1, 2")
+@query(_GPS + _ASKED + " select a.station_id, (a.issue_date - date '1970-01-01')::int as issue_day, " + ", ".join(f"round(avg(g.{p}) + 1e-9::double, 6) as base_{p}" for p in _PARTS) + " from asked a left join gps g on a.station_id = g.station_id and g.date between a.issue_date - 395 and a.issue_date - 30 group by 1, 2")
 def j12_position_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = derived.gps_wide(spark, sf_dir)
     return _station_day(gps.baseline(g, _asked(spark, g)), *(f"base_{p}" for p in _PARTS))
@@ -275,11 +280,11 @@ _STATION = _GPS + issues_sql("test") + """, st as (select distinct station_id, l
  f as (select row, col, issue_date, """ + ", ".join(f"avg(n_{p} - b_{p}) as {p[:-2]}_anomaly, avg(n_{p} - y_{p}) as {p[:-2]}_year" for p in _PARTS) + """ from near join s using (station_id) join b using (station_id, issue_date) group by all)"""
 
 
-@query(_STATION + SPINE + f" select {DAY_SQL}, " + ", ".join(f"round(coalesce({n}_{k}, 0.0::double), 6) + 0.0 as {n}_{k}" for k in ("anomaly", "year") for n in ("east", "north", "up")) + " from spine left join f using (row, col, issue_date)")
+@query(_STATION + SPINE + f" select {DAY_SQL}, " + ", ".join(f"round(coalesce({n}_{k}, 0.0::double) + 1e-9::double, 6) + 0.0 as {n}_{k}" for k in ("anomaly", "year") for n in ("east", "north", "up")) + " from spine left join f using (row, col, issue_date)")
 def a15_gps_cell_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = gps.cell_features(_cells(spark, sf_dir), _issues(spark, "test"), derived.gps_wide(spark, sf_dir))
     names = [f"{n}_{k}" for k in ("anomaly", "year") for n in ("east", "north", "up")]
-    return _keyed(out.withColumns({n: rounded_to(F.col(n), 6) + 0.0 for n in names}), *names)
+    return _keyed(out.withColumns({n: _untied(n) for n in names}), *names)
 
 
 @query(_GPS + ", g as (select station_id, date - lag(date) over (partition by station_id order by date) as gap from gps) select station_id, count(*) as samples, round(avg(gap), 6) as mean_gap_days from g group by 1")
@@ -291,3 +296,19 @@ def w4_station_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a7_planar_intensity(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = catalog.complete(derived.seismic(spark, sf_dir))
     return _keyed(etas.planar_intensity(_cells(spark, sf_dir), _issues(spark, "judge"), s).withColumn("intensity", rounded_to(F.col("intensity"), 6)), "intensity")
+
+
+_KEYED = "row, col, issue_day"
+_M7 = ["a1_window_counts", "a2_recency", "a3_largest_magnitudes", "a4_dynamic_fault_distance", "a15_gps_cell_features", "j13_tide_at_issue"]
+_M7_COLUMNS = [f"count_{d}d" for d in (7, 30, 90, 365)] + ["log_recency"] + [f"{k}_{d}d" for k in ("max_mag", "fault_mean") for d in (30, 90, 365)] + [f"{n}_{k}" for k in ("anomaly", "year") for n in ("east", "north", "up")] + ["tide"]
+
+
+@query(f"select {_KEYED}, " + ", ".join([*_M7_COLUMNS, "coast_km", "fault_km"]) + f" from ({SQL[_M7[0]]})" + "".join(f" join ({SQL[n]}) using ({_KEYED})" for n in _M7[1:]) + f" join ({SQL['j15_static_features']}) using (row, col)")
+def m7_wide_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = _cells(spark, sf_dir).withColumn("cell", (F.col("row") - 50) * 50 + F.col("col") + 180)
+    history = catalog.complete(catalog.history(derived.seismic(spark, sf_dir), "test"))
+    lines = (polylines.segments(f(spark, sf_dir)) for f in (derived.coastline, derived.faults))
+    wide = tables.wide_features(cells, _issues(spark, "test"), history, *lines, derived.elevation(spark, sf_dir), derived.drivers(spark, sf_dir), derived.gps_wide(spark, sf_dir))
+    whole = {f"count_{d}d" for d in (7, 30, 90, 365)} | {f"max_mag_{d}d" for d in (30, 90, 365)}
+    names = [*_M7_COLUMNS, "coast_km", "fault_km"]
+    return _keyed(wide, *names).select("row", "col", "issue_day", *(F.col(n) if n in whole else _untied(n).alias(n) if n.endswith(("_anomaly", "_year")) else r6(n) for n in names))
