@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quakelode.constants import COMPLETENESS
+from quakelode.constants import COMPLETENESS, DAY
 from quakelode.functions.geo import valid_place
 from quakelode.functions.times import epoch_seconds, utc
+from quakelode.operators.names import fresh
 
 OBSERVATIONS = T.StructType([T.StructField(n, T.StringType() if n in ("source", "station_id", "parameter") else T.TimestampType() if n == "time" else T.DoubleType()) for n in ("source", "time", "latitude", "longitude", "depth_km", "magnitude", "station_id", "parameter", "value")])
 REQUIRED = ("source", "time", "latitude", "longitude", "magnitude")
@@ -118,8 +119,16 @@ def duplicate_events(events: DataFrame) -> DataFrame:
 
 
 def chronological(events: DataFrame, keys: Sequence[str] = ("split",)) -> DataFrame:
-    """Adds ordinal: the place of each event in its split by time, then id."""
-    return events.withColumn("ordinal", F.row_number().over(Window.partitionBy(*keys).orderBy("t", "event_id")))
+    """Adds ordinal: the place of each event in its split by time, then id.
+
+    Events are counted by day first and ordered within a day, so a split is not sorted in one task.
+    """
+    day, before = fresh(events.columns, "day", "before")
+    rows = events.withColumn(day, F.floor(F.col("t") / DAY))
+    upto = F.sum(before).over(Window.partitionBy(*keys).orderBy(day)) - F.col(before)
+    counts = rows.groupBy(*keys, day).agg(F.count("*").alias(before)).select(*keys, day, upto.alias(before))
+    own = F.row_number().over(Window.partitionBy(*keys, day).orderBy("t", "event_id"))
+    return rows.join(counts, [*keys, day]).withColumn("ordinal", F.col(before) + own).drop(day, before)
 
 
 def history(events: DataFrame, split: str) -> DataFrame:
