@@ -16,11 +16,11 @@ from quakelode.llm.shared import materialize
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many of it) in one sequence, longest first
 #: Search steps of the branch and bound; beyond them the best solution so far stands.
-STEPS = 20_000
+STEPS = 200
 #: Fillings tried at one level, and items in a filling besides the largest.
 WIDTH, ITEMS = 8, 5
-#: Offsets of (task, length) up to this many rows (24 MB) are broadcast; more are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Offsets of (task, length) up to this many rows (20 MB) are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 200_000
 
 
 class Plan(NamedTuple):
