@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -10,7 +12,15 @@ from functools import lru_cache
 #: Chunks whose ids a Python worker keeps (about 60 MB); what comes later is encoded each time.
 CACHE = 300_000
 #: A longer text is split and encoded in runs of about so many bytes.
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 21
+#: The characters that stand for bytes which are no printable Latin-1 character, in the order of these bytes.
+UNPRINTABLE = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
+BYTE_CHARACTERS = {b: chr(256 + k) for k, b in enumerate(UNPRINTABLE)}
+
+#: Letters, perhaps beyond ASCII, and then ASCII punctuation without apostrophes, which may begin a token with letters, and "<".
+PARTED = re.compile(rb"([a-z\x80-\xff]+)([!-&(-/:;=-@\[-`{-~]+)")
+#: The first character after the Latin letters that this module treats by itself.
+LATIN_END = "\u0250"
 
 
 @lru_cache(4)
@@ -38,15 +48,50 @@ def encoded(texts: list[str | None], path: str | None = None) -> list[bytes]:
     chunks in order; chunks come back often and are encoded once.
     """
     tokenizer, cache = _tokenizer(path)
-    pieces = [list(_runs(t.encode())) if t else [] for t in texts]
-    new = list(set().union(*(run for runs in pieces for run in runs)).difference(cache))
-    if new:
-        for chunk, found in zip(new, tokenizer.encode_batch_fast([c.decode() for c in new], add_special_tokens=False), strict=True):
-            cache[chunk] = array("I", found.ids).tobytes()
+    pieces = [list(_runs(_lowered(t.encode()))) if t else [] for t in texts]
+    new = set().union(*(run for runs in pieces for run in runs)).difference(cache)
+    # punctuation after letters is a token of its own, whatever the letters
+    parted = {c: m.groups() for c in new if (m := PARTED.fullmatch(c)) and _plain_word(m[1].decode())}
+    added = list(new.difference(parted).union(*parted.values()).difference(cache))
+    cache.update(zip(added, _encoded_chunks(tokenizer, added), strict=True))
+    cache.update({c: cache[word] + cache[end] for c, (word, end) in parted.items()})
     out = [b"".join([b"".join(map(cache.__getitem__, run)) for run in runs]) for runs in pieces]
     if len(cache) > CACHE:
-        for chunk in new:
-            del cache[chunk]
+        for chunk in (*added, *parted):
+            cache.pop(chunk, None)
+    return out
+
+
+def _plain_word(word: str) -> bool:
+    """Only letters, of the Latin blocks: such a word is one pre-token, and stays one beside punctuation.
+
+    The dotted capital I is not meant: lower-cased, it ends with a mark that is no letter.
+    """
+    return word.isascii() or (word.isalpha() and max(word) < LATIN_END and "\u0130" not in word)
+
+
+def _lowered(text: bytes) -> bytes:
+    """A-Z lower-cased, as the tokenizer does; texts that may hold a special token, whose case counts, stay."""
+    return text if b"<|" in text else text.lower()
+
+
+def _encoded_chunks(tokenizer, chunks: list[bytes]) -> list[bytes]:
+    """The ids of each chunk. Words of Latin letters alone are one pre-token and go straight to the tokenizer's model."""
+    out: list[bytes] = []
+    tokenize, rest = tokenizer.model.tokenize, []
+    for chunk in chunks:
+        if chunk.isalpha():
+            word = chunk.decode()
+        else:
+            word = unicodedata.normalize("NFC", chunk.decode()).lower()
+            if not (word.isalpha() and max(word) < LATIN_END):
+                rest.append(len(out))
+                out.append(b"")
+                continue
+            word = word.encode().decode("latin-1").translate(BYTE_CHARACTERS)
+        out.append(array("I", [t.id for t in tokenize(word)]).tobytes())
+    for k, e in zip(rest, tokenizer.encode_batch_fast([chunks[k].decode() for k in rest], add_special_tokens=False), strict=True):
+        out[k] = array("I", e.ids).tobytes()
     return out
 
 
