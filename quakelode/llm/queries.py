@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quakelode.llm import cosine, lattice, lengths, licenses, minhash, mixing, neighbours, packing, quality, sharding
+from quakelode.llm import cosine, lattice, lengths, licenses, minhash, mixing, neighbours, oracles, packing, quality, sharding
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,4 +78,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_minhash_near_dedup": oracles.MINHASH, "op3_embedding_near_dedup": oracles.COSINE, "op5_license_scan": oracles.LICENSES}
