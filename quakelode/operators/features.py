@@ -14,7 +14,7 @@ CELL = ["row", "col"]
 
 def near_events(cells: DataFrame, events: DataFrame, radius_km: float = RADIUS_KM) -> DataFrame:
     """(row, col, t, magnitude, km, and other columns of events): each event near each cell, whatever the issue dates."""
-    pairs = neighbour_pairs(cells.select(*CELL, "latitude", "longitude"), events, radius_km)
+    pairs = neighbour_pairs(cells.select(*CELL, "latitude", "longitude"), events, radius_km, broadcast_left=True)
     own = [c for c in events.columns if c not in ("latitude", "longitude")]
     return pairs.select(*CELL, *(F.col(f"r_{c}").alias(c) for c in own), "km")
 

@@ -44,7 +44,7 @@ def intervals(positions: DataFrame) -> DataFrame:
 def station_cells(cells: DataFrame, positions: DataFrame, km: float = RADIUS_KM) -> DataFrame:
     """(row, col, station_id): stations within the radius of a cell's centre."""
     stations = positions.select("station_id", "latitude", "longitude").distinct()
-    return neighbour_pairs(cells.select("row", "col", "latitude", "longitude"), stations, km).select("row", "col", F.col("r_station_id").alias("station_id")).distinct()
+    return neighbour_pairs(cells.select("row", "col", "latitude", "longitude"), stations, km, broadcast_left=True).select("row", "col", F.col("r_station_id").alias("station_id")).distinct()
 
 
 def last_before(positions: DataFrame, queries: DataFrame, shift_days: int, prefix: str) -> DataFrame:

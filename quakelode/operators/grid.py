@@ -50,7 +50,7 @@ def scored_cells(spark: SparkSession, events: DataFrame, radius_km: float = RADI
     """(row, col, latitude, longitude) of regional cells whose centre has an event within the radius."""
     centres = grid(spark).select("row", "col", F.col("lat_center").alias("latitude"), F.col("lon_center").alias("longitude"))
     places = events.select("latitude", "longitude").distinct()
-    return neighbour_pairs(centres, places, radius_km).select(*centres.columns).distinct()
+    return neighbour_pairs(centres, places, radius_km, broadcast_left=True).select(*centres.columns).distinct()
 
 
 #: Segments up to this many (about 1 MB) are broadcast to all points; more are first sorted out by squares of this side.

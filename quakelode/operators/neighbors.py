@@ -13,6 +13,10 @@ from quakelode.operators.names import fresh
 
 #: How much wider than the radius a bucket is, against rounding.
 MARGIN = 1.0005
+#: Time buckets in an interval: more of them meet fewer pairs in vain and part a swarm further, for more copies of the left rows.
+PERIODS = 4
+#: Left rows up to this many (times nine buckets, some 10 MB) are broadcast where a caller asks for it.
+BROADCAST_ROWS = 10_000
 
 
 def _bands(radius_km: float, earth_km: float) -> float:
@@ -29,7 +33,7 @@ def _columns_in(band: Column, height: float, radius_km: float, earth_km: float)
     return F.when((reach >= 1) | (width > 120), 1).otherwise(F.floor(360 / width)).cast("int")
 
 
-def neighbour_pairs(left: DataFrame, right: DataFrame, radius_km: float, days: tuple[float, float] | None = None, earth_km: float = EARTH_KM, lat: str = "latitude", lon: str = "longitude", t: str = "t", strict: bool = False) -> DataFrame:
+def neighbour_pairs(left: DataFrame, right: DataFrame, radius_km: float, days: tuple[float, float] | None = None, earth_km: float = EARTH_KM, lat: str = "latitude", lon: str = "longitude", t: str = "t", strict: bool = False, broadcast_left: bool = False) -> DataFrame:
     """All pairs of rows within the radius, with km; columns of right get the prefix ``r_``.
 
     days = (low, high): besides, low * 86400 <= left.t - right.t <= high * 86400 (t in epoch seconds); callers add what
@@ -37,12 +41,14 @@ def neighbour_pairs(left: DataFrame, right: DataFrame, radius_km: float, days: t
 
     Space is cut into bands of latitude as high as the radius, and each band into buckets at least as wide as the radius
     reaches there; right rows keep their bucket, each left row looks into three buckets of three bands, and with days
-    into the time buckets of the interval's length that hold it. So the join is an equi-join whose work follows
-    the number of near pairs, and an aftershock sequence is spread over time buckets. left should be the smaller side.
+    into the time buckets that its interval touches. So the join is an equi-join whose work follows the number of near
+    pairs; a swarm is spread over time buckets, and what is still too much in one bucket is split by AQE's skewed join.
+    left should be the smaller side; it is dealt to the session's number of tasks before it is copied, since a few bytes
+    here make much trigonometry. broadcast_left: if it has BROADCAST_ROWS rows at most, right isn't shuffled at all.
     """
     height = _bands(radius_km, earth_km)
     band_, col_, when_, n_ = fresh([*left.columns, *(f"r_{c}" for c in right.columns)], "band", "bucket", "period", "buckets")
-    span = None if days is None else max(1.0, (days[1] - days[0]) * DAY)
+    span = None if days is None else max(1.0, (days[1] - days[0]) * DAY / PERIODS)
 
     def band(x: Column) -> Column:
         return F.floor(x / height).cast("int")
@@ -53,7 +59,9 @@ def neighbour_pairs(left: DataFrame, right: DataFrame, radius_km: float, days: t
     r = right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns)).where(F.col(f"r_{lat}").isNotNull() & F.col(f"r_{lon}").isNotNull())
     r = r.withColumn(band_, band(F.col(f"r_{lat}")))
     r = r.withColumn(col_, bucket(F.col(f"r_{lon}"), _columns_in(F.col(band_), height, radius_km, earth_km)))
+    small = broadcast_left and left.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     l = left.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
+    l = l if small else l.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), *left.columns)
     l = l.withColumn(band_, F.explode(F.array(*(band(F.col(lat)) + d for d in (-1, 0, 1)))))
     l = l.withColumn(n_, _columns_in(F.col(band_), height, radius_km, earth_km))
     here = bucket(F.col(lon), F.col(n_))
@@ -65,9 +73,7 @@ def neighbour_pairs(left: DataFrame, right: DataFrame, radius_km: float, days: t
         l = l.withColumn(when_, F.explode(F.sequence(first, last)))
         on.append(when_)
     km = great_circle_km(F.col(lat), F.col(lon), F.col(f"r_{lat}"), F.col(f"r_{lon}"), earth_km)
-    # trigonometry outweighs the few bytes of a row: keep the session's number of tasks
-    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = l.repartition(parts, *on).join(r, on).where(F.abs(F.col(lat) - F.col(f"r_{lat}")) <= height)
+    pairs = (r.join(F.broadcast(l), on) if small else l.join(r, on)).where(F.abs(F.col(lat) - F.col(f"r_{lat}")) <= height)
     if days is not None:
         age = F.col(t) - F.col(f"r_{t}")
         pairs = pairs.where((age >= days[0] * DAY) & (age <= days[1] * DAY))
