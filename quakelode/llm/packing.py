@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -15,10 +16,8 @@ from quakelode.llm.encode import encoded, grouped
 from quakelode.llm.shared import materialize
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many of it) in one sequence, longest first
-#: Search steps of the branch and bound; beyond them the best solution so far stands.
-STEPS = 200
-#: Fillings tried at one level, and items in a filling besides the largest.
-WIDTH, ITEMS = 8, 5
+#: Fillings that the branch and bound looks at; beyond them the best solution so far stands.
+STEPS = 1_000_000
 #: Offsets of (task, length) up to this many rows (20 MB) are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -27,6 +26,7 @@ class Plan(NamedTuple):
     patterns: list[tuple[Pattern, int]]  # and how many sequences are filled by each
     sequences: int
     bound: int  # no plan has fewer
+    steps: int = 0  # fillings that the search looked at
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
@@ -72,85 +72,157 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]
     return [g for room in groups for g in room if g[0]]
 
 
-def _fillings(sizes: list[int], counts: dict[int, int], room: int, slack: int) -> list[tuple[int, tuple[int, ...]]]:
-    """(waste, items) of undominated ways to fill room with a waste of at most slack, least waste first.
+def _reached(sizes: list[int], count: list[int], room: int) -> list[int]:
+    """For each k, the sums up to room (as bits) of items among the k smallest sizes, each as often as it is there."""
+    out, mask = [1], (1 << room + 1) - 1
+    for s in sizes:
+        sums, left, part = out[-1], min(count[s], room // s), 1
+        while left:
+            part = min(part, left)
+            sums |= sums << s * part & mask
+            left, part = left - part, 2 * part
+        out.append(sums)
+    return out
+
+
+def _exact(sizes: list[int], reached: list[int], count: list[int], k: int, room: int) -> Iterator[Pattern]:
+    """All ways to fill room without waste from the k smallest sizes, those with the largest items first."""
+    if not room:
+        yield ()
+        return
+    for i in range(min(k, bisect_right(sizes, room)) - 1, -1, -1):
+        if not reached[i + 1] >> room & 1:
+            return
+        s = sizes[i]
+        for n in range(min(count[s], room // s), 0, -1):
+            if reached[i] >> room - n * s & 1:
+                for rest in _exact(sizes, reached, count, i, room - n * s):
+                    yield ((s, n), *rest)
+
+
+def _dominated(filling: Pattern, waste: int, count: list[int], there: int) -> bool:
+    """Whether a size left out (of those in the bits ``there``) could take the place of some items within the waste.
 
-    A way is dominated if a size left out could take the place of some of its items within its waste: then the other
-    way leaves smaller items over and wastes less.
+    Then the other way leaves smaller items over and wastes less.
     """
-    found: list[tuple[int, tuple[int, ...]]] = []
-    steps = 0
-
-    def dominated(items: tuple[int, ...], waste: int) -> bool:
-        sums = {0: 0}
-        for x in items:
-            sums |= {s + x: k + 1 for s, k in sums.items() if s + x not in sums or sums[s + x] < k + 1}
-        for s, k in sums.items():
-            lo = int(np.searchsorted(ascending, s + (k < 2), "left"))
-            hi = int(np.searchsorted(ascending, s + waste, "right"))
-            if any(counts[int(x)] > items.count(int(x)) for x in ascending[lo:hi][:4]):
-                return True
-        return False
-
-    def grow(at: int, items: tuple[int, ...], left: int) -> None:
-        nonlocal steps
-        steps += 1
-        if steps > 400 or len(found) >= 4 * WIDTH:
-            return
-        if left <= slack and not dominated(items, left):
-            found.append((left, items))
-        if len(items) < ITEMS:
-            start = max(at, len(sizes) - int(np.searchsorted(ascending, left, "right")))
-            for k in range(start, len(sizes)):
-                if counts[sizes[k]] > items.count(sizes[k]):
-                    grow(k, (*items, sizes[k]), left - sizes[k])
-                if steps > 400:
-                    return
+    one, two = 0, 0  # sums of one item or more, of two or more
+    for s, n in filling:
+        if count[s] == n:
+            there &= ~(1 << s)
+        for _ in range(n):
+            two |= (two | one) << s
+            one |= one << s | 1 << s
+    return bool(two & there) or any((one | 1) << w & there for w in range(1, waste + 1))
 
-    ascending = np.array(sizes[::-1], np.int64)
-    grow(0, (), room)
-    return sorted(set(found))[:WIDTH]
+
+def _perfect(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
+    """Sequences of one piece or two equal to the capacity; some plan with the fewest sequences has them all.
+
+    What stands beside the two pieces of such a pair in other sequences fits into one.
+    """
+    found: list[tuple[Pattern, int]] = []
+    for s in sorted(counts, reverse=True):
+        other = capacity - s
+        if not other:
+            found.append((((s, 1),), counts[s]))
+        elif s > other and other in counts:
+            found.append((((s, 1), (other, 1)), min(counts[s], counts[other])))
+        elif s == other and counts[s] > 1:
+            found.append((((s, 2),), counts[s] // 2))
+    return found
 
 
 def bin_completion(counts: dict[int, int], capacity: int, steps: int = STEPS) -> Plan:
     """Fills sequences around the largest item left, by branch and bound; the best-fit plan is the first incumbent.
 
-    counts: how many pieces have each length from 1 to capacity. A filling is taken as often as the counts allow at
-    once, so the depth follows the number of lengths and not that of pieces. A branch ends where the waste so far
-    exceeds what a plan with one sequence less may waste; the search ends at the lower bound or after ``steps``.
+    counts: how many pieces have each length from 1 to capacity. Perfect pairs are fixed, the search is on the rest. The
+    fillings around an item come one by one, of any number of items, those that waste least first, and each as often as
+    the counts allow, then less often; so the first way down follows the number of lengths and not that of pieces, and
+    without a limit no plan is left out. A branch ends where the waste so far exceeds what a plan with one sequence less
+    may waste; the search ends at the lower bound or when ``steps`` fillings have been looked at.
     """
     counts = {int(s): int(n) for s, n in counts.items() if n}
-    best = best_fit(counts, capacity)
-    fewest, bound, total = sum(n for _, n in best), lower_bound(counts, capacity), sum(s * n for s, n in counts.items())
-    spent = 0
-    stack: list[tuple[dict[int, int], list[tuple[Pattern, int]], int]] = [(counts, [], 0)]
-    while stack and fewest > bound and spent < steps:
-        left, plan, waste = stack.pop()
-        spent += 1
-        slack = (fewest - 1) * capacity - total - waste
-        if slack < 0:
-            continue
-        if not left:
-            best, fewest = plan, sum(n for _, n in plan)
+    best, bound = best_fit(counts, capacity), lower_bound(counts, capacity)
+    fewest, total, spent = sum(n for _, n in best), sum(s * n for s, n in counts.items()), 0
+    if fewest == bound:
+        return Plan(best, fewest, bound)
+    plan = _perfect(counts, capacity)
+    count, there = [0] * (capacity + 1), 0
+    for s, n in counts.items():
+        count[s] = n
+    for pattern, n in plan:
+        for s, k in pattern:
+            count[s] -= n * k
+    for s in counts:
+        there |= (count[s] > 0) << s
+    wasted, nodes = 0, 0
+
+    def move(pattern: Pattern, n: int) -> None:
+        nonlocal there
+        for s, k in pattern:
+            count[s] -= n * k
+            there = there | 1 << s if count[s] else there & ~(1 << s)
+
+    def fillings(largest: int, sizes: list[int], reached: list[int]) -> Iterator[tuple[Pattern, int, int]]:
+        """(pattern, times, waste of one): what may come next; counts are the same again each time it goes on."""
+        nonlocal spent
+        room, waste = capacity - largest, 0
+        while waste <= min(room, (fewest - 1) * capacity - total - wasted):
+            rest = [*count]
+            rest[largest] -= 1
+            left = there if rest[largest] else there & ~(1 << largest)
+            for filling in _exact(sizes, reached, rest, len(sizes), room - waste):
+                spent += 1
+                if spent > steps:
+                    return
+                if not _dominated(filling, waste, rest, left):
+                    own = sum(n for s, n in filling if s == largest)
+                    pattern = ((largest, own + 1), *(x for x in filling if x[0] != largest))
+                    most = min(count[s] // n for s, n in pattern)
+                    for times in range(most, 0, -1):
+                        if wasted + times * waste <= (fewest - 1) * capacity - total:
+                            yield pattern, times, waste
+            waste += 1
+
+    def node(below: int, sizes: list[int], reached: list[int]) -> tuple[int, list[int], list[int], Iterator]:
+        largest = below
+        while not count[largest]:
+            largest -= 1
+        if largest != below:  # the sums of the node above, where counts were greater, still hold for the same item
+            room = capacity - largest
+            sizes = [s for s in range(1, min(room, largest) + 1) if count[s]]
+            reached = _reached(sizes, count, room)
+        return largest, sizes, reached, fillings(largest, sizes, reached)
+
+    taken: list[tuple[Pattern, int, int]] = []
+    stack = [node(capacity, [], [])] if there else []
+    if not there:
+        best, fewest = plan, sum(n for _, n in plan)
+    while stack and fewest > bound and spent <= steps:
+        largest, sizes, reached, ways = stack[-1]
+        if len(taken) == len(stack):  # back from the node below
+            pattern, times, waste = taken.pop()
+            move(pattern, -times)
+            wasted -= times * waste
+        way = next(ways, None)
+        if way is None:
+            stack.pop()
             continue
-        if spent % 16 == 0:  # what is left, by best fit: a full solution at every few steps
-            rest = best_fit(left, capacity)
-            if (n := sum(k for _, k in plan) + sum(k for _, k in rest)) < fewest:
-                best, fewest = plan + rest, n
-        largest = max(left)
-        one = {**left, largest: left[largest] - 1}
-        sizes = sorted((s for s, n in one.items() if n and s <= capacity - largest), reverse=True)
-        branches = []
-        for lost, items in _fillings(sizes, one, capacity - largest, slack):
-            taken = {x: items.count(x) for x in items}
-            taken[largest] = taken.get(largest, 0) + 1
-            times = min(left[x] // k for x, k in taken.items())
-            if lost:
-                times = max(1, min(times, slack // lost))
-            after = {s: n - times * taken.get(s, 0) for s, n in left.items() if n - times * taken.get(s, 0)}
-            branches.append((after, [*plan, (tuple(sorted(taken.items(), reverse=True)), times)], waste + times * lost))
-        stack += branches[::-1]
-    return Plan(best, fewest, bound)
+        pattern, times, waste = way
+        taken.append(way)
+        move(pattern, times)
+        wasted += times * waste
+        nodes += 1
+        so_far = sum(n for _, n in plan) + sum(n for _, n, _ in taken) if not there or nodes & nodes - 1 == 0 else 0
+        if not there:
+            best, fewest = plan + [w[:2] for w in taken], so_far
+        else:
+            if nodes & nodes - 1 == 0:  # what is left, by best fit: a full solution now and then
+                rest = best_fit({s: n for s, n in enumerate(count) if n}, capacity)
+                if (n := so_far + sum(k for _, k in rest)) < fewest:
+                    best, fewest = plan + [w[:2] for w in taken] + rest, n
+            stack.append(node(largest, sizes, reached))
+    return Plan(best, fewest, bound, min(spent, steps))
 
 
 def _places(plan: Plan) -> dict[str, np.ndarray]:

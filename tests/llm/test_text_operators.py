@@ -203,6 +203,17 @@ def test_bin_completion_against_exhaustive_search():
     assert packing.bin_completion({}, 10) == packing.Plan([], 0, 0)
 
 
+def test_bin_completion_meets_the_bound_where_best_fit_does_not():
+    """400 full sequences of 2048, each cut into three pieces of random lengths."""
+    rnd, sizes = random.Random(1), collections.Counter()
+    for _ in range(400):
+        a, b = sorted(rnd.sample(range(1, 2048), 2))
+        sizes.update((a, b - a, 2048 - b))
+    assert sum(n for _, n in packing.best_fit(sizes, 2048)) == 401
+    plan = packing.bin_completion(sizes, 2048)
+    assert plan.sequences == plan.bound == 400 and all(sum(s * k for s, k in pattern) == 2048 for pattern, _ in plan.patterns)
+
+
 def test_license_phrases_and_templates(spark, docs):
     texts = [
         "Licensed under CC BY-NC 4.0.", "cc\nby and CC-BY again; all Rights\treserved", "GNU GENERAL public license", "plain text by cc",
