@@ -81,7 +81,7 @@ def _encoded_chunks(tokenizer, chunks: list[bytes]) -> list[bytes]:
     tokenize, rest = tokenizer.model.tokenize, []
     for chunk in chunks:
         if chunk.isalpha():
-            word = chunk.decode()
+            word = chunk.decode().lower()  # texts that may hold a special token come as they are
         else:
             word = unicodedata.normalize("NFC", chunk.decode()).lower()
             if not (word.isalpha() and max(word) < LATIN_END):

@@ -136,6 +136,13 @@ def token_ids():
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["Hello WORLD <|endoftext|> Again", "HELLO<|endoftext|>Hello, É World! <|StartOfText|> <|> A", "F# x <|> Y |> Map ÀB Ab. AB' i̇ İX", "Hello WORLD Again"])
+def test_ids_are_those_of_the_whole_text(text):
+    from quakelode.llm.encode import encoded
+
+    assert list(np.frombuffer(encoded([text])[0], "<u4")) == token_ids()(text)
+
+
 def test_length_sums(docs):
     ids = token_ids()
     held = np.array([len(ids(r[1])) for r in corpus()])
