@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
+from array import array
+from collections import Counter, deque
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -108,9 +109,10 @@ def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield at, codes.astype(np.uint64)
 
 
-def _long_word(pieces: Pieces, word: str, scores: np.ndarray) -> float:
-    """The same recursion for one word of any length, keeping as many prefixes as the longest piece needs."""
-    text, a = SPACE + word, [0.0]
+def _long_prefixes(pieces: Pieces, text: str, scores: np.ndarray) -> Iterator[float]:
+    """The same recursion for one text of any length, keeping as many prefixes as the longest piece needs."""
+    a = [0.0]
+    yield a[0]
     for j in range(1, len(text) + 1):
         terms = [a[-1] + len(text[j - 1].encode()) * scores[-2]]
         for i in range(max(0, j - pieces.longest), j):
@@ -119,12 +121,37 @@ def _long_word(pieces: Pieces, word: str, scores: np.ndarray) -> float:
                 terms.append(a[i - j] + scores[k])
         top = max(terms)
         a.append(top + math.log(sum(math.exp(t - top) for t in terms)))
+        yield a[-1]
         if len(a) > pieces.longest + 1:
             a.pop(0)
-    return a[-1]
 
 
-LONG = 200  #: characters from which a word is scored by itself, and not used to fit pieces
+def _long_word(pieces: Pieces, word: str, scores: np.ndarray) -> float:
+    last = 0.0
+    for last in _long_prefixes(pieces, SPACE + word, scores):
+        pass
+    return last
+
+
+def _long_expected(pieces: Pieces, word: str, weight: float, scores: np.ndarray, out: np.ndarray) -> None:
+    """Adds to out what expected_pieces() counts in one word of any length: its prefixes are kept, and suffixes as the longest piece needs."""
+    text = SPACE + word
+    a = array("d", _long_prefixes(pieces, text, scores))
+    b = deque([0.0], pieces.longest)  # of the suffixes from i + 1 on
+    for i in range(len(text) - 1, -1, -1):
+        width = len(text[i].encode())
+        terms = [b[0] + width * scores[-2]]
+        out[-1] += weight * width * math.exp(a[i] + terms[0] - a[-1])
+        for n in range(1, len(b) + 1):
+            k = pieces.index.get(text[i : i + n])
+            if k is not None:
+                terms.append(b[n - 1] + scores[k])
+                out[k] += weight * math.exp(a[i] + terms[-1] - a[-1])
+        top = max(terms)
+        b.appendleft(top + math.log(sum(math.exp(t - top) for t in terms)))
+
+
+LONG = 200  #: characters beyond which a word is gone through by itself
 
 
 def word_scores(words: list[str], scores: np.ndarray, path: str | None = None) -> np.ndarray:
@@ -156,6 +183,9 @@ def expected_pieces(words: list[str], counts: np.ndarray, scores: np.ndarray, pa
                 own = k >= 0
                 out[:-1] += np.bincount(k[own], post[own], len(out) - 1)
                 out[-1] += (post * np.where(k < -1, -1 - k, 0)).sum()
+    for k, w in enumerate(words):
+        if len(w) > LONG:
+            _long_expected(pieces, w, float(counts[k]), scores, out)
     return out
 
 

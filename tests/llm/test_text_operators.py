@@ -295,6 +295,23 @@ def test_lattice_equals_all_segmentations():
     assert 5 <= n.sum() <= 5 * 4
 
 
+def test_long_words_teach_pieces(spark, monkeypatch):
+    pieces = lattice._pieces(None)
+    scores, words, counts = pieces.first_scores(), ["the", "ingthe", "日本x", "\x00é", "z" * 90, "thequickbrownfox" * 11], np.array([3.0, 1.0, 2.0, 4.0, 1.0, 2.0])
+    whole = lattice.expected_pieces(words, counts, scores)
+    monkeypatch.setattr(lattice, "LONG", 3)
+    assert np.allclose(lattice.expected_pieces(words, counts, scores), whole)
+    monkeypatch.undo()
+    long = "thequickbrownfox" * 50
+    n = lattice.expected_pieces([long], np.array([2.0]), scores)
+    held = sum(x * len(t) for x, t in zip(n, pieces.text)) + n[-1] / 3  # bytes: only the mark's three, no piece being likelier
+    assert 2 * len(long) - 1 < held < 2 * len(long) + 2 + 2 * len(long)
+    df = spark.createDataFrame([(1, long, True), (2, long, False)], "doc_id long, text string, learn boolean")
+    blank = spark.createDataFrame([(1, "", True), (2, long, False)], "doc_id long, text string, learn boolean")
+    taught, untaught = ({r.doc_id: r.score for r in lattice.likelihoods(d, "learn").collect()}[2] for d in (df, blank))
+    assert taught > untaught / 2
+
+
 def test_likelihoods(docs, monkeypatch):
     monkeypatch.setattr(lattice, "HEAD", 40)
     learn = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 != 1, F.lit(True))
