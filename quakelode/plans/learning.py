@@ -195,7 +195,7 @@ def _examples(spark: SparkSession, sf_dir: str, split: str, known: DataFrame) ->
     return out.join(cells, ["row", "col"]).withColumn("split", F.lit(split))
 
 
-def grid_forecast(spark: SparkSession, sf_dir: str, rounds: int = 12) -> tuple[DataFrame, DataFrame, DataFrame]:
+def grid_forecast(spark: SparkSession, sf_dir: str, rounds: int = 400) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(scored test rows, calibrated judge rows, scored grid of the judge's dates): the flagship run, model and all."""
     from quakelode.plans.cells import _issues
 
@@ -244,6 +244,6 @@ def m6_principal_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 def m8_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = derived.seismic(spark, sf_dir)
     rows = features.event_labels(s, s).cache()
-    settings = [{"rounds": 3, "depth": d, "rate": r} for d in (2, 3) for r in (0.05, 0.2)]
+    settings = [{"rounds": n, "depth": d, "rate": r} for n in (200, 400, 800) for d in (3, 4, 6) for r in (0.01, 0.05, 0.1)]
     best = learn.sweep(rows.where("split = 'train'"), rows.where("split = 'test'"), ["latitude", "longitude", "depth_km", "magnitude"], settings)
     return spark.createDataFrame([(o["depth"], o["rate"], ig) for o, ig in best], "depth int, rate double, ig_bits double")

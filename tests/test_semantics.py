@@ -342,3 +342,25 @@ def test_entry_works_without_the_corpus_operators(monkeypatch):
     real = importlib.util.find_spec
     monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name in ("quakelode.llm", "corpus_pipeline") else real(name, *a))
     assert not any(n.startswith("op") for n in entry.queries()) and "pipeline" not in entry.queries()
+
+
+def test_registered_models_have_all_rounds(spark, sf, monkeypatch):
+    from quakelode.plans import learning
+
+    class Stop(Exception):
+        pass
+
+    asked = []
+
+    def stop(*_, **options):
+        asked.append(options)
+        raise Stop
+
+    monkeypatch.setattr(learning.learn, "boosted", stop)
+    for query in (learning.m1_m3_m18_grid_forecast, learning.m1_m17_model_scorecard):
+        with pytest.raises(Stop):
+            query(spark, sf)
+    assert [o.get("rounds", 400) for o in asked] == [400, 400]
+    monkeypatch.setattr(learning.learn, "sweep", lambda train, test, columns, grid: asked.append(grid) or [])
+    learning.m8_sweep(spark, sf)
+    assert {(o["rounds"], o["depth"], o["rate"]) for o in asked[-1]} == {(n, d, r) for n in (200, 400, 800) for d in (3, 4, 6) for r in (0.01, 0.05, 0.1)}
