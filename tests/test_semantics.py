@@ -364,3 +364,10 @@ def test_registered_models_have_all_rounds(spark, sf, monkeypatch):
     monkeypatch.setattr(learning.learn, "sweep", lambda train, test, columns, grid: asked.append(grid) or [])
     learning.m8_sweep(spark, sf)
     assert {(o["rounds"], o["depth"], o["rate"]) for o in asked[-1]} == {(n, d, r) for n in (200, 400, 800) for d in (3, 4, 6) for r in (0.01, 0.05, 0.1)}
+
+
+def test_registered_fit_meets_the_tolerance(spark, sf):
+    from quakelode.plans.events import e5_amplitude_fit
+
+    got = e5_amplitude_fit(spark, sf).first().integration
+    assert got.power >= 11 and got.error <= 0.002 * got.exposure
