@@ -371,3 +371,14 @@ def test_registered_fit_meets_the_tolerance(spark, sf):
 
     got = e5_amplitude_fit(spark, sf).first().integration
     assert got.power >= 11 and got.error <= 0.002 * got.exposure
+
+
+def test_resampled_catalogues_come_from_the_events(spark):
+    events = spark.createDataFrame([(7, T0 - DAY, 40.2, -70.2, 5.0, "train"), (8, T0 + DAY, 40.2, -70.2, 5.0, "train")], EVENTS)
+    got = etas.resampled(events, 400, (40.25, -70.25), T0).collect()
+    rate = sorted(-math.log1p(-r.probability) for r in got)
+    one = min(x - rate[0] for x in rate if x > rate[0] * 1.000001)
+    times = [round((x - rate[0]) / one) for x in rate]
+    assert len(got) == 400 and np.allclose(rate, [rate[0] + one * k for k in times])
+    assert abs(np.mean(times) - 1) < 0.2 and abs(times.count(0) / 400 - math.exp(-1)) < 0.1
+    assert len({r.probability for r in etas.resampled(events.where("event_id = 8"), 5, (40.25, -70.25), T0).collect()}) == 1
