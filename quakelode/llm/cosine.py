@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quakelode.llm.components import components
 from quakelode.llm.shared import materialize
-from quakelode.llm.vectors import common_length, matrix, stacked, usable
+from quakelode.llm.vectors import lengths, matrix, stacked, usable
 
 TILE = 4096  #: vectors in a tile: 2 MB at 64 doubles each
 RANGES = 1024  #: ranges of the first component at most; what a tile can't hold of one is split by hash
@@ -81,28 +81,9 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return label
 
 
-def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95) -> DataFrame:
-    """(id, n_links, component_id, kept) for each row of vectors.
-
-    Two vectors are linked if their cosine, in double precision, is at least ``least``. n_links counts the other rows
-    linked with this one, component_id is the smallest id reached by links. Vectors that are null, empty, zero or hold
-    null or non-finite components link with nothing, nor do those of another length than the most frequent. Rows that
-    repeat an id are one node of the components, and each counts as a link of its equals; a null id takes part in
-    n_links, but its component is that of its equals, else null, and it is never kept. Other columns play no part.
-
-    Equal vectors are one class from the start. Classes are laid out in tiles along the first component; two tiles meet
-    in one task if their ranges of it are as near as linked unit vectors can be. A task returns counts and a spanning
-    forest, never all its pairs.
-    """
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
-    length = common_length(rows, "v")
-    good = usable("v") & (F.size("v") == length)
-    # + 0.0 makes -0.0 and 0.0 one value
-    rows = rows.withColumn("v", F.when(good, F.transform("v", lambda x: x + F.lit(0.0).cast("float") * x)))
-    classes = rows.where("v is not null").groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("n")).withColumn("c", F.monotonically_increasing_id())
-    classes = materialize(classes, "cosine-classes")
-    axes = principal_axes(classes, "v", length) if length else np.zeros((0, 0))
+def _class_links(classes: DataFrame, length: int, least: float) -> DataFrame:
+    """(c, links, other) from the comparison of all classes (c, v, n) of one length."""
+    axes = principal_axes(classes, "v", length)
 
     def rotate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,7 +133,31 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
         return pd.DataFrame({"c": ids[at], "links": links[at], "other": ids[root[at]]})
 
     met = dealt.join(meets, "tile")
-    found = materialize(met.groupBy("i", "j").applyInPandas(compare, "c long, links long, other long"), "cosine-links")
+    return materialize(met.groupBy("i", "j").applyInPandas(compare, "c long, links long, other long"), "cosine-links")
+
+
+def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95) -> DataFrame:
+    """(id, n_links, component_id, kept) for each row of vectors.
+
+    Two vectors are linked if their cosine, in double precision, is at least ``least``. n_links counts the other rows
+    linked with this one, component_id is the smallest id reached by links. Vectors that are null, empty, zero or hold
+    null or non-finite components link with nothing, nor do those of different lengths. Rows that
+    repeat an id are one node of the components, and each counts as a link of its equals; a null id takes part in
+    n_links, but its component is that of its equals, else null, and it is never kept. Other columns play no part.
+
+    Equal vectors are one class from the start. Classes of one length are laid out in tiles along its first component; two tiles meet
+    in one task if their ranges of it are as near as linked unit vectors can be. A task returns counts and a spanning
+    forest, never all its pairs.
+    """
+    spark = vectors.sparkSession
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
+    # + 0.0 makes -0.0 and 0.0 one value
+    rows = rows.withColumn("v", F.when(usable("v"), F.transform("v", lambda x: x + F.lit(0.0).cast("float") * x)))
+    classes = rows.where("v is not null").groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("n")).withColumn("c", F.monotonically_increasing_id())
+    classes = materialize(classes, "cosine-classes")
+    found = spark.createDataFrame([], "c long, links long, other long")
+    for length in lengths(classes, "v"):
+        found = found.unionByName(_class_links(classes.where(F.size("v") == length), length, least))
     links = found.groupBy("c").agg(F.sum("links").alias("links"))
     named = materialize(rows.join(classes.select("v", "c"), "v", "left").select("id", "c"), "cosine-rows")
     named = named.join(classes.select("c", F.col("id").alias("rep"), "n"), "c", "left").join(links, "c", "left")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quakelode.llm.shared import materialize
-from quakelode.llm.vectors import common_length, matrix, stacked, usable
+from quakelode.llm.vectors import lengths, matrix, stacked, usable
 
 SAMPLE = 16_384  #: vectors, those with the smallest hashes, on which the index is fitted
 TRIALS = 256  #: of them, those whose neighbours in the sample show how many lists to probe
@@ -80,16 +80,24 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     """(query_id, rank, vec_id, score): for each query its k nearest rows of vectors found, except that of its own id.
 
     score is the Euclidean distance of the given vectors in double precision; ties go to the smaller id. Vectors that
-    are null, empty, zero, hold null or non-finite components or have another length than the most frequent one take
-    no part, as queries or candidates, nor do null ids. Rows that repeat an id count once, by their nearest vector. With
+    are null, empty, zero or hold null or non-finite components take
+    no part, as queries or candidates, nor do null ids; a query's candidates are those of its length. Rows that repeat an id count once, by their nearest vector. With
     k candidates or fewer all are returned. Other columns play no part.
 
-    The index is fitted on SAMPLE rows and covers every row: each goes to the list of its nearest centre, and each query
+    Each length has its index, which is fitted on SAMPLE rows and covers every row: each goes to the list of its nearest centre, and each query
     probes as many lists as RECALL of neighbours in the sample needed. Long lists are split; a task gets a part of a
     list with the queries that probe it, in groups of PART.
     """
+    found = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for length in lengths(queries, vector_col):
+        found = found.unionByName(_nearest_of_length(vectors, queries, length, k, id_col, vector_col))
+    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))  # an id may have vectors of several lengths
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _nearest_of_length(vectors: DataFrame, queries: DataFrame, length: int, k: int, id_col: str, vector_col: str) -> DataFrame:
     spark = vectors.sparkSession
-    length = common_length(vectors, vector_col)
 
     def clean(df: DataFrame) -> DataFrame:
         return df.where(usable(vector_col) & (F.size(vector_col) == length)).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id is not null")

@@ -15,10 +15,10 @@ def usable(col: str) -> Column:
     return v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: F.coalesce(x.cast("double") - x.cast("double") == 0, F.lit(False))) & F.exists(v, lambda x: x.cast("double") != 0)
 
 
-def common_length(vectors: DataFrame, col: str) -> int:
-    """The most frequent length of usable vectors (the larger of equally frequent ones); 0 if there are none."""
-    got = vectors.where(usable(col)).groupBy(F.size(col).alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).limit(1).collect()
-    return got[0].d if got else 0
+def lengths(vectors: DataFrame, col: str) -> list[int]:
+    """The lengths of usable vectors."""
+    got = vectors.where(usable(col)).groupBy(F.size(col).alias("d")).count().collect()
+    return sorted(r.d for r in got)
 
 
 def matrix(column: pa.Array, length: int) -> np.ndarray:

@@ -80,3 +80,12 @@ def test_scan_keeps_the_nearest():
         true = np.argsort(((x - q) ** 2).sum(1))[:10]
         lost += len(set(true) - set(neighbours.adaptive_scan(q, x, 10)))
     assert lost <= 2
+
+
+def test_each_length_has_its_links_and_neighbours(spark):
+    data = [(i, [1.0, float(i)], 0, "") for i in range(6)] + [(10 + i, [1.0, 0.01 * i, 0.0], 0, "") for i in range(4)]
+    df = spark.createDataFrame(data, SCHEMA)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in cosine.near_duplicate_vectors(df).collect()}
+    assert all(got[10 + i] == (3, 10) for i in range(4)) and got[0] == (0, 0)
+    near = neighbours.nearest(df, df, k=2).collect()
+    assert {r.vec_id for r in near if r.query_id == 10} == {11, 12} and {r.vec_id for r in near if r.query_id == 0} == {1, 2}
