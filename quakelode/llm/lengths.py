@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quakelode.llm.encode import encoded, grouped
-from quakelode.llm.shared import running_total
+from quakelode.llm.shared import materialize, running_total
 
 #: Lengths whose sums are taken together before the blocks are added up.
 BLOCK = 1024
@@ -20,7 +20,8 @@ def length_histogram(documents: DataFrame, text_col: str = "text", tokenizer_pat
     """(tokens, documents): how many texts have each encoded length, without special tokens.
 
     Null, empty and blank texts have 0 tokens and are counted; repeated rows count as often as they come; no rows give
-    no lengths. A task sends one row for each length it met, whatever the number of its texts.
+    no lengths. A task sends one row for each length it met, whatever the number of its texts; the histogram is written
+    to the shared folder, so that texts are encoded once, however many answers are taken from it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -31,7 +32,7 @@ def length_histogram(documents: DataFrame, text_col: str = "text", tokenizer_pat
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["tokens", "documents"])
 
     part = documents.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "tokens long, documents long")
-    return part.groupBy("tokens").agg(F.sum("documents").alias("documents"))
+    return materialize(part.groupBy("tokens").agg(F.sum("documents").alias("documents")), "lengths-histogram")
 
 
 def context_totals(histogram: DataFrame) -> DataFrame:
