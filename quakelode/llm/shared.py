@@ -55,6 +55,16 @@ def fresh(columns: list[str], *names: str) -> list[str]:
     return out
 
 
+def plain_columns(df: DataFrame) -> list[Column]:
+    """The columns of df in a form that can be hashed and sorted: what holds a map becomes JSON."""
+    return [F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in t else F.col(f"`{c}`") for c, t in df.dtypes]
+
+
+def ordered(df: DataFrame, order: list[Column], part: str, nth: str, label: str) -> DataFrame:
+    """df in the shared folder with two columns that give its rows' order: part (ranges of it, one a task) and, through all, nth."""
+    return materialize(df.orderBy(*order).withColumn(part, F.spark_partition_id()).withColumn(nth, F.monotonically_increasing_id()), label)
+
+
 def running_total(df: DataFrame, keys: list[str], block: Column, order: list[Column], value: str, out: str) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over the rows before this one within ``keys``, in the order of (block, order).
 
