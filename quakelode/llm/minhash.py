@@ -8,7 +8,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +18,8 @@ from quakelode.llm.shared import discard, materialize, mix, shingle_sets, text_c
 BUCKETS, MANTISSA, ROWS = 128, 10, 4  #: registers a text, mantissa bits of each, registers in a band
 BANDS = BUCKETS // ROWS
 EMPTY = np.uint16(0xFFFF)
+#: Groups of a leader's members, each of which gets the leader's row once.
+SALTS = 64
 #: Members of one leader compared with each other in one task's memory.
 TILE = 512
 #: Shingles of all members of a tile (8 MB).
@@ -116,15 +118,33 @@ def _of(texts: DataFrame, ids: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
 
 
+def _salt() -> Column:
+    return F.pmod(F.xxhash64("id", F.lit(11)), F.lit(SALTS)).alias("salt")
+
+
+def _beside(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """pairs (leader, id) with the columns of table for both, the leader's under names that begin with ``l_``.
+
+    Members of one leader are dealt into SALTS groups, so a leader of very many is no hot key, and its row is sent once
+    a group and not once a member.
+    """
+    members = pairs.join(table, "id").select("*", _salt())
+    heads = pairs.select("leader", _salt()).distinct().join(table.select(F.col("id").alias("leader"), *(F.col(c).alias(f"l_{c}") for c in table.columns if c != "id")), "leader")
+    return members.join(heads, ["leader", "salt"]).drop("salt")
+
+
+def _spread(rows: DataFrame, leaders: DataFrame) -> DataFrame:
+    """rows (leader, id, ...) joined with leaders, which has a row for each leader, by groups as above."""
+    return rows.select("*", _salt()).join(leaders.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["leader", "salt"]).drop("salt")
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, share: int) -> DataFrame:
-    """Of pairs (a, b) those whose whole sets meet the threshold."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = _sets(_of(texts, ids), size)
-    sets = materialize(sets, "minhash-sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb")).cast("long")
-    linked = both.select("a", "b", common.alias("x"), (F.size("sa") + F.size("sb")).cast("long").alias("n")).where(f"100 * x >= {share} * (n - x)")
-    out = materialize(linked.select("a", "b"), "minhash-links")
+    """Of pairs (leader, id) those whose whole sets meet the threshold, as (a, b) with a < b."""
+    ids = pairs.select(F.explode(F.array("leader", "id")).alias("id")).distinct()
+    sets = materialize(_sets(_of(texts, ids), size), "minhash-sets")
+    common = F.size(F.array_intersect("s", "l_s")).cast("long")
+    linked = _beside(pairs, sets).select("leader", "id", common.alias("x"), (F.size("s") + F.size("l_s")).cast("long").alias("n")).where(f"100 * x >= {share} * (n - x)")
+    out = materialize(linked.select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")), "minhash-links")
     discard(sets)
     return out
 
@@ -143,9 +163,8 @@ def _estimated(pairs: DataFrame, classes: DataFrame, share: int) -> DataFrame:
         a, b = (np.stack(z.to_numpy()).astype(np.int64).view(np.uint16).reshape(len(z), BUCKETS) for z in (x, y))
         return pd.Series(estimate((a == b).sum(1), n.to_numpy()) >= least)
 
-    left, right = (classes.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("bands").alias(f"s{k}")) for k in "ab")
-    joined = pairs.join(left, "a").join(right, "b").where(f"100 * least(na, nb) >= {share} * greatest(na, nb)")
-    return joined.where(close("sa", "sb", F.expr("(na + nb) / 2"))).select("a", "b")
+    joined = _beside(pairs, classes.select("id", "n", "bands")).where(f"100 * least(n, l_n) >= {share} * greatest(n, l_n)")
+    return joined.where(close("bands", "l_bands", F.expr("(n + l_n) / 2"))).select("leader", "id")
 
 
 def _within(rows: DataFrame, share: int) -> DataFrame:
@@ -177,7 +196,7 @@ def _within(rows: DataFrame, share: int) -> DataFrame:
         return pd.DataFrame(found, columns=["a", "b"]) if found else none
 
     size = rows.groupBy("leader").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).alias("tiles"))
-    tiled = rows.join(size, "leader").withColumn("tile", F.pmod(F.xxhash64("id", F.lit(3)), F.col("tiles")))
+    tiled = _spread(rows, size).withColumn("tile", F.pmod(F.xxhash64("id", F.lit(3)), F.col("tiles")))
     pairs = tiled.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other"))
     return pairs.groupBy("leader", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
@@ -212,22 +231,24 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
         again = sketch.where("n > 0").join(twice, "id").join(classes.select("f1", "f2", "n", F.col("id").alias("rep")), ["f1", "f2", "n"])
         links = again.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
 
-    stars = members.where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-    pairs = materialize(_estimated(stars, classes, percent), "minhash-pairs")
+    pairs = materialize(_estimated(members.where("id <> leader").select("leader", "id"), classes, percent), "minhash-pairs")
     confirmed = _confirmed(pairs, texts, shingle_words, percent)
+    discard(pairs)
     links = confirmed if links is None else links.union(confirmed)
     comp = materialize(components(links), "minhash-components")
     # what shares a band shares its leader: leaders whose members are in several components are gone through in whole
     rows = members.where("members > 2").select(F.col("leader"), F.explode(F.array("id", "leader")).alias("id")).distinct()
     rows = rows.join(comp.withColumnRenamed("component", "known"), "id", "left").withColumn("component", F.coalesce("known", "id")).drop("known")
     some = rows.groupBy("leader").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("leader")
-    rest = materialize(rows.join(some, "leader"), "minhash-open")
+    rest = materialize(_spread(rows, some), "minhash-open")
+    discard(members)
     if not rest.isEmpty():
         sets = _sets(_of(texts, rest.select("id").distinct()), shingle_words).withColumn("n", F.size("s").cast("long"))
         sets = materialize(sets.where("n > 0"), "minhash-sets")
         more = materialize(_within(rest.join(sets, "id"), percent), "minhash-links")
         discard(sets)
         comp = materialize(components(links.union(more)), "minhash-components")
+    discard(rest)
     rep = sketch.join(classes.select("f1", "f2", "n", F.col("id").alias("rep")), ["f1", "f2", "n"], "left").withColumn("rep", F.coalesce("rep", "id"))
     found = rep.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("component") == F.col("id"), F.lit(False)).alias("kept"))
