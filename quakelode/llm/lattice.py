@@ -190,10 +190,14 @@ def expected_pieces(words: list[str], counts: np.ndarray, scores: np.ndarray, pa
 
 
 def word_table(documents: DataFrame, text_col: str, learn: str) -> DataFrame:
-    """(word, c, seen): counts of each word in the rows to learn from (boolean column ``learn``), and in all rows."""
+    """(word, c, seen): counts of each word in the rows to learn from (boolean column ``learn``), and in all rows.
+
+    The null word counts the rows themselves.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: tuple[Counter[bytes], Counter[bytes]] = (Counter(), Counter())
+        rows = [0, 0]
 
         def send() -> pa.RecordBatch:
             words = list(counts[0] | counts[1])
@@ -204,24 +208,48 @@ def word_table(documents: DataFrame, text_col: str, learn: str) -> DataFrame:
 
         for batch in batches:
             for text, use in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                rows[bool(use)] += 1
                 counts[bool(use)].update((text.as_py() or "").encode().lower().split())
                 if len(counts[0]) + len(counts[1]) > FLUSH:
                     yield send()
         yield send()
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([rows[1]], pa.int64()), pa.array([sum(rows)], pa.int64())], names=["word", "c", "seen"])
 
     part = documents.select(F.col(text_col).cast("string").alias("text"), learn).mapInArrow(run, "word string, c long, seen long")
     return part.groupBy("word").agg(F.sum("c").alias("c"), F.sum("seen").alias("seen"))
 
 
-def likelihoods(documents: DataFrame, learn: str, id_col: str = "doc_id", text_col: str = "text", piece_path: str | None = None) -> DataFrame:
+def _estimated(words: DataFrame, ends: int, scores: np.ndarray, piece_path: str | None) -> np.ndarray:
+    """Scores from how often each piece is expected in the words to learn from, by these scores, which weigh as one token in a thousand."""
+
+    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(len(scores) - 1)
+        for batch in batches:
+            out += expected_pieces(batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64), scores, piece_path)
+        at = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at])], names=["at", "x"])
+
+    counts = np.zeros(len(scores))
+    for r in words.where("c > 0").select("word", "c").mapInArrow(expect, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():
+        counts[r["at"]] = r["x"]
+    counts[-1] = ends
+    prior = np.exp(scores)
+    prior[-2] *= 256
+    counts = counts + prior * max(1.0, 1e-3 * counts.sum())
+    out = np.log(counts / counts.sum())
+    out[-2] -= math.log(256)
+    return out
+
+
+def likelihoods(documents: DataFrame, learn: str, id_col: str = "doc_id", text_col: str = "text", piece_path: str | None = None, rounds: int = 0) -> DataFrame:
     """(id, learned, n_tokens, n_known, train_tokens, base_score, score) for each row of documents.
 
     Words stand between ASCII white space, A-Z lower-cased; each text has one end after them, which counts as a token.
     score is the log10 probability of the text: the product, over its words, of the sum over all segmentations into the
     vocabulary's pieces (a word's first piece begins with the word mark; any character may also be spelled in bytes),
-    times that of the end. Piece probabilities start from the existing scores and are re-estimated once by their
-    expected counts in the rows where ``learn`` holds (the words of all of them), the start weighing as one token in a
-    thousand. base_score is the log10 probability by whole words with c + 0.5 over N + 0.5 (V + 1).
+    times that of the end. Piece probabilities are the vocabulary's existing scores; with rounds, they are estimated
+    anew so many times by their expected counts in the words of all rows where ``learn`` holds, the scores before weighing
+    as one token in a thousand. base_score is the log10 probability by whole words with c + 0.5 over N + 0.5 (V + 1).
 
     Null, empty and blank texts are the end alone. Null ids and repeated rows are scored like others; without rows to
     learn from, N and V are 0 (each token is one of one unseen kind, score 0 in the base) and pieces keep their start.
@@ -232,27 +260,13 @@ def likelihoods(documents: DataFrame, learn: str, id_col: str = "doc_id", text_c
     spark = documents.sparkSession
     rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(learn), F.lit(False)).alias("learn"))
     words = materialize(word_table(rows, "text", "learn"), "lattice-words")
-    n = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("c") > 0, 1).otherwise(0)), F.lit(0)).alias("v")).first()
-    ends = rows.where("learn").count()
-    total, kinds = n["n"] + ends, n["v"] + (1 if ends else 0)
-    start = _pieces(piece_path).first_scores()
-
-    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(len(start) - 1)
-        for batch in batches:
-            out += expected_pieces(batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64), start, piece_path)
-        at = np.flatnonzero(out)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at])], names=["at", "x"])
-
-    counts = np.zeros(len(start))
-    for r in words.where("c > 0").select("word", "c").mapInArrow(expect, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():
-        counts[r["at"]] = r["x"]
-    counts[-1] = ends
-    prior = np.exp(start)
-    prior[-2] *= 256
-    counts = counts + prior * max(1.0, 1e-3 * counts.sum())
-    scores = np.log(counts / counts.sum())
-    scores[-2] -= math.log(256)
+    sums = {r.rows: r for r in words.groupBy(F.col("word").isNull().alias("rows")).agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).collect()}
+    ends = sums[True].n if True in sums else 0
+    words = words.where("word is not null")
+    total, kinds = ends + (sums[False].n if False in sums else 0), (1 if ends else 0) + (sums[False].v if False in sums else 0)
+    scores = _pieces(piece_path).first_scores()
+    for _ in range(rounds):
+        scores = _estimated(words, ends, scores, piece_path)
     held = spark.sparkContext.broadcast(scores)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -47,7 +47,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
-    scored = lattice.likelihoods(_documents(spark, sf_dir).withColumn("learn", F.coalesce(~held_out, F.lit(True))), "learn")
+    scored = lattice.likelihoods(_documents(spark, sf_dir).withColumn("learn", F.coalesce(~held_out, F.lit(True))), "learn", rounds=1)
     return scored.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
