@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from quakelode.llm.shared import text_chunks, word_hashes, words_of
+from quakelode.llm.shared import discard, materialize, text_chunks, word_hashes, words_of
 
 SAMPLE = 2000  #: labelled documents of each class, those with the smallest hashes, on which the field is fitted
-LINES = 200  #: lines of each of them, from a place that a hash chooses; scoring reads all lines
+LINES = 300_000  #: lines of all of them together (some 130 MB of features): documents count whole, in the order of the hashes
 ROUNDS = 150  #: steps of the fit
 FEATURES = 12
 
@@ -139,29 +139,39 @@ def _logit(p: np.ndarray) -> np.ndarray:
 
 
 def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Field:
-    """The field fitted on at most SAMPLE labelled documents of each class.
+    """The field fitted on at most SAMPLE labelled documents of each class, with all their lines.
 
-    Labels other than 0 and 1 and null ids are left out; an id with both labels counts as bad. Rows that repeat an id
-    are learned as often as they come. If a class has no document, every line is judged alike and scores are the share
-    of good labels (a half without any).
+    The bound is on rows: of a class, documents are taken by hash of their ids, and one whose lines would bring the class
+    above half of LINES is passed over. Labels other than 0 and 1 and null ids are left out; an id with both labels counts
+    as bad. Of rows that repeat an id one is learned from, that of the smallest text hash. If a class has no document,
+    every line is judged alike and scores are the share of good labels (a half without any).
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(label_col).cast("int").alias("good"))
     counts = {r.good: r["count"] for r in known.groupBy("good").count().collect()}
     prior = float(np.log(max(counts.get(1, 0), 0.5) / max(counts.get(0, 0), 0.5)))
-    chosen = [known.where(F.col("good") == g).orderBy(F.xxhash64("id"), "id").limit(SAMPLE) for g in (0, 1)]
+    # ids whose hash is small first, so that a task sends a share of the sample and not a sample of its own
+    small = lambda g: F.pmod(F.xxhash64("id"), F.lit(1 << 32)) <= (1 << 32) * 2.0 * SAMPLE / max(counts.get(g, 0), 1)
+    order = [F.pmod(F.xxhash64("id"), F.lit(1 << 32)), F.col("id")]
+    chosen = [known.where(F.col("good") == g).where(small(g)).orderBy(*order).limit(SAMPLE) for g in (0, 1)]
 
     def run(batches):
         for batch in batches:
             for at, data, offsets in text_chunks(batch.column(2)):
                 x, size, first = line_features(data, offsets)
                 x = with_neighbours(x, first)
-                ids = batch.column(0).slice(at, len(offsets) - 1).to_numpy(zero_copy_only=False)
-                cut = [(a + (int(i) * 2654435761 % (b - a - LINES) if b - a > LINES else 0), b) for i, a, b in zip(ids, first[:-1], first[1:], strict=True)]
-                parts = [slice(a, min(b, a + LINES)) for a, b in cut]
-                yield pa.RecordBatch.from_arrays([pa.array(batch.column(1).slice(at, len(ids))), pa.array([x[p].astype(np.float32).tobytes() for p in parts], pa.binary()), pa.array([size[p].tobytes() for p in parts], pa.binary())], names=["good", "x", "size"])
-
-    src = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sample = src.join(F.broadcast(chosen[0].union(chosen[1])), "id").select("id", "good", "text").mapInArrow(run, "good int, x binary, size binary").collect()
+                parts = [slice(a, b) for a, b in zip(first[:-1], first[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(at, len(parts)), pa.array([x[p].astype(np.float32).tobytes() for p in parts], pa.binary()), pa.array([size[p].tobytes() for p in parts], pa.binary())], names=["good", "x", "size"])
+
+    src = documents.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    held = src.join(F.broadcast(chosen[0].union(chosen[1])), "id").groupBy("id", "good").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    held = materialize(held.select("id", "good", F.col("t.text").alias("text"), (F.length("t.text") - F.length(F.replace("t.text", F.lit("\n"), F.lit(""))) + 1).alias("lines"), order[0].alias("place")), "quality-sample")
+    ids, room = [], {0: LINES // 2, 1: LINES // 2}
+    for r in sorted(held.select("place", "id", "good", "lines").collect()):
+        if r.lines <= room[r.good]:
+            room[r.good] -= r.lines
+            ids.append(r.id)
+    sample = held.where(F.col("id").isin(ids)).select("id", "good", "text").mapInArrow(run, "good int, x binary, size binary").collect()
+    discard(held)
     good = np.array([r.good for r in sample], np.float64)
     if not 0 < good.sum() < len(good):
         return Field(np.zeros(3 * FEATURES), np.zeros((2, 2)), 0.0, prior if counts else 0.0)
