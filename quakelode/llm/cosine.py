@@ -17,6 +17,7 @@ from quakelode.llm.vectors import lengths, matrix, stacked, usable
 TILE = 4096  #: vectors in a tile: 2 MB at 64 doubles each
 RANGES = 1024  #: ranges of the first component at most; what a tile can't hold of one is split by hash
 STRIP = 256  #: rows of a tile that are compared with the other tile at a time
+PAIRS = 1 << 21  #: doubles of each side (16 MB) that pairs which went on take at a time
 STEPS = (0.25, 0.5)  #: shares of the components after which pairs are given up
 SLACK = 1e-9  #: what rounding may hide in a partial sum
 
@@ -57,15 +58,23 @@ def tile_links(x: np.ndarray, y: np.ndarray, least: float, same: bool) -> Iterat
         if same:
             i, j, part = (z[i < j] for z in (i, j, part))
         for k in range(1, len(cuts)):
-            part = part + np.einsum("ij,ij->i", x[i, cuts[k - 1] : cuts[k]], y[j, cuts[k - 1] : cuts[k]])
+            part = part + _products(x[:, cuts[k - 1] : cuts[k]], y[:, cuts[k - 1] : cuts[k]], i, j)
             on = part + tails[k][0][i] * tails[k][1][j] >= least - SLACK
             i, j, part = i[on], j[on], part[on]
         yield i, j
 
 
+def _products(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Products of the rows i of x and j of y, some at a time: where little is given up there are very many."""
+    out, step = np.zeros(len(i)), max(1, PAIRS // x.shape[1])
+    for a in range(0, len(i), step):
+        out[a : a + step] = np.einsum("ij,ij->i", x[i[a : a + step]], y[j[a : a + step]])
+    return out
+
+
 def _exact(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    a, b = x[i], y[j]
-    return np.einsum("ij,ij->i", a, b) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
+    a, b = (np.sqrt(np.einsum("ij,ij->i", z, z)) for z in (x, y))
+    return _products(x, y, i, j) / (a[i] * b[j])
 
 
 def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
