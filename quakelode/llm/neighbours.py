@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from quakelode.llm.shared import materialize
 from quakelode.llm.vectors import lengths, matrix, stacked, usable
 
-SAMPLE = 16_384  #: vectors, those with the smallest hashes, on which the index is fitted
+SAMPLE, SAMPLE_BYTES = 65_536, 1 << 25  #: vectors, those with the smallest hashes, on which the index is fitted, and doubles of them
 TRIALS = 256  #: of them, those whose neighbours in the sample show how many lists to probe
 RECALL = 0.97  #: share of their neighbours that the probed lists must hold
-LISTS = 1024  #: lists at most; fewer for small inputs
+MEMBERS = 16  #: vectors of the sample to a list, at least
 PART = 4096  #: vectors of a list, and queries, that one task compares at a time
 COLUMNS = 16  #: columns added between two tests
 EPSILON = 2.1  #: of the test that gives a candidate up: wrong for about one in 10^4 at each look
@@ -25,7 +25,7 @@ EPSILON = 2.1  #: of the test that gives a candidate up: wrong for about one in
 def fit(sample: np.ndarray, count: int, neighbours: int, seed: int = 5) -> tuple[np.ndarray, int]:
     """Centres by k-means on the sample, and the lists to probe for RECALL of the sample's own nearest neighbours."""
     draw = np.random.default_rng(seed)
-    k = int(np.clip(np.sqrt(count) / 4, 1, min(LISTS, max(1, len(sample) // 16))))
+    k = int(np.clip(np.sqrt(count) / 4, 1, max(1, len(sample) // MEMBERS)))
     centres = sample[draw.choice(len(sample), k, replace=False)]
     for _ in range(10):
         near = _nearest(sample, centres)
@@ -84,9 +84,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     no part, as queries or candidates, nor do null ids; a query's candidates are those of its length. Rows that repeat an id count once, by their nearest vector. With
     k candidates or fewer all are returned. Other columns play no part.
 
-    Each length has its index, which is fitted on SAMPLE rows and covers every row: each goes to the list of its nearest centre, and each query
-    probes as many lists as RECALL of neighbours in the sample needed. Long lists are split; a task gets a part of a
-    list with the queries that probe it, in groups of PART.
+    Each length has its index, which is fitted on SAMPLE rows at most and covers every row: each goes to the list of its
+    nearest centre, and each query probes as many lists as RECALL of neighbours in the sample needed. Lists become more
+    with the square root of the rows, up to one for MEMBERS vectors of the sample (4096); beyond that they grow, and long
+    ones are split: a task gets a part of a list with the queries that probe it, in groups of PART.
     """
     found = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     for length in lengths(queries, vector_col):
@@ -103,12 +104,15 @@ def _nearest_of_length(vectors: DataFrame, queries: DataFrame, length: int, k: i
         return df.where(usable(vector_col) & (F.size(vector_col) == length)).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id is not null")
 
     rows, asked = clean(vectors), clean(queries)
-    sample = [r.v for r in rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()]
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if not sample:
-        return empty
+    count = rows.count()
+    if not count:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    # rows whose hash is small first, so that a task sends a share of the sample and not a sample of its own
+    most, place = max(MEMBERS, min(SAMPLE, SAMPLE_BYTES // length // 8)), F.pmod(F.xxhash64("id", "v"), F.lit(1 << 32))
+    few = rows.where(place <= (1 << 32) * 2.0 * most / count).orderBy(place, "id").limit(most).select("v").toArrow()
+    few = few if len(few) else rows.limit(most).select("v").toArrow()  # all rows are one row
+    centres, probes = fit(matrix(few["v"], length), count, k)
     turn = rotation(length)
-    centres, probes = fit(np.array(sample, np.float64), rows.count(), k)
     kind = dict(rows.dtypes)["v"]
 
     def lists(many: int):
