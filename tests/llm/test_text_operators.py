@@ -235,21 +235,44 @@ def test_license_phrases_and_templates(spark, docs):
         assert (r.n_words, r.n_base) == (len(w), len(at)) and r.base_labels == ",".join(sorted({x for _, x in at}))
         assert (r.first_word, r.last_word) == ((min(at)[0], max(at)[0]) if at else (None, None)) and 0 <= r.score <= 1
         assert set(r.base_labels.split(",")) <= set(r.labels.split(",")) | {""}
-    assert "cc-by-nc" in got[0].labels and got[4].labels == "mit" and got[5].labels == "apache" and got[3].labels == ""
+    assert got[0].labels == "cc-by,cc-by-nc" and got[4].labels == "mit" and got[5].labels == "apache" and got[3].labels == ""
+
+
+@pytest.mark.parametrize(("text", "labels"), [
+    ("Licensed under CC BY 4.0", "cc-by"), ("Licensed under CC BY-NC 4.0", "cc-by,cc-by-nc"), ("Licensed under CC BY-SA 4.0", "cc-by,cc-by-sa"), ("Licensed under CC BY-ND 4.0.", "cc-by,cc-by-nd"),
+    ("under the terms of the GNU General Public License", "gpl"), ("This work is licensed under the GNU General Public License, version 3.", "gpl"),
+    ("under the terms of the GNU Lesser General Public License", "gpl,lgpl"), ("under the terms of the GNU Affero General Public License", "agpl,gpl"),
+    ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "gpl,lgpl"),
+    ("Released under the Apache License", "apache"), ("Licensed under the Apache License, Version 2.0", "apache"), ("Released under the MIT License", "mit"),
+    ("The record was released under the name of the band, and the license was never found", ""), ("Released under a license of the state, the film under review was late", ""),
+    ("Licensed under state law " + "word " * 40 + "MIT " + "word " * 40 + "the license", ""),
+    ("Licensed under CC BY-NC-SA 4.0", "cc-by,cc-by-nc-sa"), ("der den mit.\nLicensed under the Apache License, Version 2.0", "apache"), ("nd ontiti nd. Licensed under CC BY-NC 4.0.", "cc-by,cc-by-nc"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "cc-by-nc"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "isc"),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction", "mit"),
+])
+def test_licenses_are_told_apart(spark, text, labels):
+    """Alone, and in the middle of a long text. (The phrase "general public license" gives gpl in itself.)"""
+    rows = [(1, text), (2, "some more " * 90 + text + " and so on" * 90)]
+    assert {r.labels for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {labels}
 
 
 def test_license_join_finds_every_block(spark):
     """All blocks with the containment, by brute force over random words."""
     rnd = random.Random(5)
     letters = [f"t{k}" for k in range(12)]
-    templates = {" ".join(rnd.sample(letters, k)): f"l{k}" for k in (3, 5, 8)}
-    rows = [(i, " ".join(rnd.choice([*letters, "x", "y"]) for _ in range(rnd.randint(0, 300)))) for i in range(80)]
+    texts = [rnd.sample(letters, k) for k in (3, 5, 8)] + [[*letters, "u1", "u2", "u3", "u4"]]
+    templates = [licenses.Template(" ".join(t), f"l{len(t)}", " ".join(t[: len(t) // 5])) for t in texts]
+    rows = [(i, " ".join(rnd.choice([*letters, "x", "y", "u1", "u2"]) for _ in range(rnd.randint(0, 300)))) for i in range(80)]
     got = {r.doc_id: {(b.template, b.first) for b in r.blocks} for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), templates=templates).collect()}
     for i, t in rows:
         w, want = t.split(), set()
-        for at in range(0, max(0, len(w) - 1 - licenses.STRIDE) + 1, licenses.STRIDE):
-            block = set(w[at : at + licenses.BLOCK])
-            want |= {(k, at) for k, s in enumerate(templates) if 10 * len(block & set(s.split())) >= 8 * len(s.split())}
+        for k, s in enumerate(texts):
+            wide = 24 if len(s) < 15 else 128
+            for at in range(0, max(0, len(w) - 1 - wide // 2) + 1, wide // 2):
+                block = w[at : at + wide]
+                if 10 * len({*block} & {*s}) >= 8 * len(s) and " " + " ".join(s[: len(s) // 5]) in " " + " ".join(block):
+                    want.add((k, at))
         assert got[i] == want
 
 
