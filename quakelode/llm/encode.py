@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
@@ -21,6 +22,9 @@ BYTE_CHARACTERS = {b: chr(256 + k) for k, b in enumerate(UNPRINTABLE)}
 PARTED = re.compile(rb"([a-z\x80-\xff]+)([!-&(-/:;=-@\[-`{-~]+)")
 #: The first character after the Latin letters that this module treats by itself.
 LATIN_END = "\u0250"
+#: What a tokenizer file must declare for chunks to be encoded by themselves (fixed values); texts go whole to any other.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 
 
 @lru_cache(4)
@@ -29,7 +33,9 @@ def _tokenizer(path: str | None):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json")), {}
+    tokenizer = Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
+    said = json.loads(tokenizer.to_str())
+    return tokenizer, {}, said["normalizer"] == NORMALIZER and said["pre_tokenizer"] == PRE_TOKENIZER
 
 
 def _runs(text: bytes) -> Iterator[list[bytes]]:
@@ -44,10 +50,12 @@ def _runs(text: bytes) -> Iterator[list[bytes]]:
 def encoded(texts: list[str | None], path: str | None = None) -> list[bytes]:
     """The ids of each text (null: none) as little-endian unsigned 32-bit numbers, without special tokens around it.
 
-    The tokenizer drops white space and never joins what stands on two sides of it, so a text's ids are those of its
-    chunks in order; chunks come back often and are encoded once.
+    A tokenizer that drops white space and never joins what stands on two sides of it gives a text the ids of its chunks
+    in order; chunks come back often and are encoded once. Other tokenizers get whole texts.
     """
-    tokenizer, cache = _tokenizer(path)
+    tokenizer, cache, by_chunks = _tokenizer(path)
+    if not by_chunks:
+        return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
     pieces = [list(_runs(_lowered(t.encode()))) if t else [] for t in texts]
     new = set().union(*(run for runs in pieces for run in runs)).difference(cache)
     # punctuation after letters is a token of its own, whatever the letters

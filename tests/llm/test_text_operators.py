@@ -143,6 +143,27 @@ def test_ids_are_those_of_the_whole_text(text):
     assert list(np.frombuffer(encoded([text])[0], "<u4")) == token_ids()(text)
 
 
+def test_ids_of_random_texts():
+    """20 000 texts of parts that tokenizers treat by rules of their own."""
+    from quakelode.llm.encode import encoded
+
+    rnd, ids = random.Random(11), token_ids()
+    parts = ["Hello", "WORLD", "don't", "I'VE", "a", "B", "xs", "Parser", "12", "3.5", "é", "É", "e\u0301", "E\u0301", "İ", "ß", "ẞ", "日本語", "Ж", "ﬁ", "<|", "|>", "<|>", "<|endoftext|>", "<|startoftext|>", "<|StartOfText|>", "<", "|", ">", "!", "'", '"', "--", "\u200d", "\u0302", "\x85", "\xa0", "\u2003", "\x1c", "\x00", "😀", "_"]
+    texts = ["".join(rnd.choice(parts) + rnd.choice(["", "", " ", " ", "\n", "\t", "\x0b"]) for _ in range(rnd.randint(1, 9))) for _ in range(20_000)]
+    assert [t for t, got in zip(texts, encoded(texts)) if list(np.frombuffer(got, "<u4")) != ids(t)] == []
+
+
+def test_other_tokenizers_get_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from quakelode.llm.encode import encoded
+
+    path, texts = public_tokenizers.path("byte_bpe_50k.json"), ["Hello  WORLD\n again", "", None, "日本 <|endoftext|>"]
+    want = [Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [list(np.frombuffer(x, "<u4")) for x in encoded(texts, path)] == want
+
+
 def test_length_sums(docs):
     ids = token_ids()
     held = np.array([len(ids(r[1])) for r in corpus()])
