@@ -18,10 +18,10 @@ from quakelode.llm.shared import discard, materialize, mix, shingle_sets, text_c
 BUCKETS, MANTISSA, ROWS = 128, 10, 4  #: registers a text, mantissa bits of each, registers in a band
 BANDS = BUCKETS // ROWS
 EMPTY = np.uint16(0xFFFF)
-#: Groups of a leader's members, each of which gets the leader's row once.
-SALTS = 64
+#: Members of one leader that get its row together, and groups into which all rows of a leader are dealt where none is known.
+GROUP, SALTS = 64, 64
 #: Members of one leader compared with each other in one task's memory.
-TILE = 512
+TILE = 256
 #: Shingles of all members of a tile (8 MB).
 TILE_SHINGLES = 1_000_000
 #: Ids up to this many (16 MB) are broadcast to find their texts; more are joined by shuffle.
@@ -118,28 +118,32 @@ def _of(texts: DataFrame, ids: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
 
 
-def _salt() -> Column:
-    return F.pmod(F.xxhash64("id", F.lit(11)), F.lit(SALTS)).alias("salt")
+def _salt(groups: Column) -> Column:
+    return F.pmod(F.xxhash64("id", F.lit(11)), groups).alias("salt")
 
 
 def _beside(pairs: DataFrame, table: DataFrame) -> DataFrame:
-    """pairs (leader, id) with the columns of table for both, the leader's under names that begin with ``l_``.
+    """pairs (leader, id, salt) with the columns of table for both, the leader's under names that begin with ``l_``.
 
-    Members of one leader are dealt into SALTS groups, so a leader of very many is no hot key, and its row is sent once
+    Members of one leader are dealt into groups by salt, so a leader of very many is no hot key, and its row is sent once
     a group and not once a member.
     """
-    members = pairs.join(table, "id").select("*", _salt())
-    heads = pairs.select("leader", _salt()).distinct().join(table.select(F.col("id").alias("leader"), *(F.col(c).alias(f"l_{c}") for c in table.columns if c != "id")), "leader")
-    return members.join(heads, ["leader", "salt"]).drop("salt")
+    members = pairs.join(table, "id")
+    heads = pairs.select("leader", "salt").distinct().join(table.select(F.col("id").alias("leader"), *(F.col(c).alias(f"l_{c}") for c in table.columns if c != "id")), "leader")
+    return members.join(heads, ["leader", "salt"])
 
 
 def _spread(rows: DataFrame, leaders: DataFrame) -> DataFrame:
-    """rows (leader, id, ...) joined with leaders, which has a row for each leader, by groups as above."""
-    return rows.select("*", _salt()).join(leaders.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["leader", "salt"]).drop("salt")
+    """rows (leader, id, ...) joined with leaders, which has a row for each leader and is broadcast if it is short."""
+    leaders = materialize(leaders, "minhash-leaders")
+    if leaders.count() <= BROADCAST_IDS:
+        return rows.join(F.broadcast(leaders), "leader")
+    dealt = leaders.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return rows.select("*", _salt(F.lit(SALTS))).join(dealt, ["leader", "salt"]).drop("salt")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, share: int) -> DataFrame:
-    """Of pairs (leader, id) those whose whole sets meet the threshold, as (a, b) with a < b."""
+    """Of pairs (leader, id, salt) those whose whole sets meet the threshold, as (a, b) with a < b."""
     ids = pairs.select(F.explode(F.array("leader", "id")).alias("id")).distinct()
     sets = materialize(_sets(_of(texts, ids), size), "minhash-sets")
     common = F.size(F.array_intersect("s", "l_s")).cast("long")
@@ -164,7 +168,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame, share: int) -> DataFrame:
         return pd.Series(estimate((a == b).sum(1), n.to_numpy()) >= least)
 
     joined = _beside(pairs, classes.select("id", "n", "bands")).where(f"100 * least(n, l_n) >= {share} * greatest(n, l_n)")
-    return joined.where(close("bands", "l_bands", F.expr("(n + l_n) / 2"))).select("leader", "id")
+    return joined.where(close("bands", "l_bands", F.expr("(n + l_n) / 2"))).select("leader", "id", "salt")
 
 
 def _within(rows: DataFrame, share: int) -> DataFrame:
@@ -231,7 +235,8 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
         again = sketch.where("n > 0").join(twice, "id").join(classes.select("f1", "f2", "n", F.col("id").alias("rep")), ["f1", "f2", "n"])
         links = again.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
 
-    pairs = materialize(_estimated(members.where("id <> leader").select("leader", "id"), classes, percent), "minhash-pairs")
+    stars = members.where("id <> leader").select("leader", "id", _salt(F.ceil(F.col("members") / GROUP)))
+    pairs = materialize(_estimated(stars, classes, percent), "minhash-pairs")
     confirmed = _confirmed(pairs, texts, shingle_words, percent)
     discard(pairs)
     links = confirmed if links is None else links.union(confirmed)
