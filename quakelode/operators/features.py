@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quakelode.constants import BAND_DAYS, BAND_EDGES_KM, COUNT_DAYS, DAY, DIST_MAX, EARTH_MEAN_KM, MAGNITUDE_DAYS, NO_EVENT_DAYS, RADIUS_KM, TARGET_MAGNITUDE, TIDE_SCALE_KM, WINDOW_DAYS
+from quakelode.functions.geo import great_circle_km
 from quakelode.functions.times import date_seconds, day_of, month_index
-from quakelode.operators.neighbors import neighbour_pairs
+from quakelode.operators.neighbors import chord2, neighbour_pairs
 
 CELL = ["row", "col"]
 
@@ -102,16 +103,20 @@ def band_sums(targets: DataFrame, history: DataFrame, edges: tuple[float, ...] =
     past = history.select("t", "latitude", "longitude", "magnitude")
     past = past if least is None else past.where(F.col("magnitude") > least)
     side = targets.select("event_id", "t", "latitude", "longitude")
-    pairs = neighbour_pairs(side, past, edges[-1] + 1e-6, None if days is None else (0.0, days), EARTH_MEAN_KM).where("r_t < t")
+    pairs = neighbour_pairs(side, past, edges[-1] + 1e-6, None if days is None else (0.0, days), EARTH_MEAN_KM, chord="chord").where("r_t < t")
     pairs = pairs if days is None else pairs.where(F.col("t") - F.col("r_t") < days * DAY)
-    km = F.col("km")
+    # the straight distance tells the band; only next to an edge the distance itself is needed
+    km = great_circle_km(F.col("latitude"), F.col("longitude"), F.col("r_latitude"), F.col("r_longitude"), EARTH_MEAN_KM)
+    passed = []  # edges at or below the pair's distance; the last one only if the distance is beyond it
     for e in edges:
-        km = F.when(F.abs(km - e) <= 1e-9, F.lit(float(e))).otherwise(km)
-    pairs = pairs.withColumn("km", km)
-    names, sums = band_names(edges), []
-    for k, name in enumerate(names):
-        inside = (F.col("km") >= edges[k]) & (F.col("km") <= edges[k + 1] if k == len(names) - 1 else F.col("km") < edges[k + 1])
-        sums.append(F.coalesce(F.sum(F.when(inside, F.col("r_magnitude"))), F.lit(0.0)).alias(name))
+        at, own = chord2(e, EARTH_MEAN_KM), km > e + 1e-9 if e == edges[-1] else km >= e - 1e-9
+        passed.append(F.when(F.abs(F.col("chord") - at) > 1e-9 * at + 1e-18, F.col("chord") > at).otherwise(own))
+    names = band_names(edges)
+    band = F.when(~passed[0] | passed[-1], None)
+    for k in range(len(names) - 1, -1, -1):
+        band = band.when(passed[k], k)
+    pairs = pairs.select("event_id", "r_magnitude", band.alias("band"))
+    sums = [F.coalesce(F.sum(F.when(F.col("band") == k, F.col("r_magnitude"))), F.lit(0.0)).alias(name) for k, name in enumerate(names)]
     return targets.join(pairs.groupBy("event_id").agg(*sums), "event_id", "left").fillna(dict.fromkeys(names, 0.0))
 
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import pickle
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import PCA, Imputer, VectorAssembler
@@ -14,8 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quakelode.constants import CLIP_GRID
-from quakelode.operators import metrics
+from quakelode.operators import boosting, metrics
 
+#: Train rows on which a sweep fits its settings.
+SWEEP_ROWS = 50_000
 COUNTS = ["count_7d", "count_30d", "count_90d", "count_365d", "log_recency"]
 #: Columns of one wide feature table that each experiment uses.
 FEATURE_SETS = {
@@ -76,7 +80,11 @@ def components(df: DataFrame, columns: Sequence[str], k: int) -> DataFrame:
 
 def boosted(train: DataFrame, columns: Sequence[str], rounds: int = 400, rate: float = 0.05, depth: int = 5, rows: float = 0.8, cols: str = "0.8", seed: int = 42) -> Model:
     model = GBTClassifier(featuresCol="features", labelCol="label", maxIter=rounds, stepSize=rate, maxDepth=depth, subsamplingRate=rows, featureSubsetStrategy=cols, seed=seed, checkpointInterval=20)
-    return model.fit(assembled(train, columns).select("features", "label").cache())
+    ready = assembled(train, columns).select("features", "label").cache()
+    try:
+        return model.fit(ready)
+    finally:
+        ready.unpersist()
 
 
 def logistic(train: DataFrame, columns: Sequence[str]) -> Model:
@@ -96,14 +104,43 @@ def calibrated(fit_on: DataFrame, df: DataFrame, clip: float = CLIP_GRID) -> Dat
     return out.withColumn("p", metrics.clipped(F.col("prediction"), clip)).drop("prediction")
 
 
-def sweep(train: DataFrame, test: DataFrame, columns: Sequence[str], grid: Sequence[dict], top: int = 5) -> list[tuple[dict, float]]:
-    """The best settings by information gain on the later split, which is fixed in time; ties by place in the grid."""
-    base = train.agg(F.avg("label")).first()[0]
-    found = []
-    for options in grid:
-        p = scored(boosted(train, columns, **options), test, columns).withColumn("y", F.col("label")).withColumn("g", F.lit(1))
-        found.append((options, metrics.information_gain(p, F.lit(base), ["g"]).first().ig_bits))
-    return sorted(found, key=lambda x: -x[1])[:top]
+def sweep(train: DataFrame, test: DataFrame, columns: Sequence[str], grid: Sequence[dict], sample: int = SWEEP_ROWS) -> DataFrame:
+    """(rounds, depth, rate, l2, ig_bits, auc) of each setting, scored on all rows of the later split, which is fixed in time.
+
+    Settings are fitted side by side, one a task, on the same ``sample`` train rows at most (those with the smallest
+    hashes); settings that differ in rounds alone are one fit. Scores are taken from all test rows.
+    """
+    spark, base = train.sparkSession, train.agg(F.avg("label")).first()[0]
+    rows = train.select(*(F.col(c).cast("double").alias(c) for c in columns), F.col("label").cast("double").alias("label"))
+    place = F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 32))
+    few = rows.where(place <= (1 << 32) * 2.0 * sample / max(1, rows.count())).orderBy(place, *rows.columns).limit(sample).toPandas()
+    x, y = few[list(columns)].to_numpy(), few["label"].to_numpy()
+    edges = boosting.quantile_edges(x)
+    data = spark.sparkContext.broadcast((boosting.binned(x, edges), y))
+    fits = sorted({(g["depth"], g["rate"], g["l2"]) for g in grid})
+    after = {f: sorted({g["rounds"] for g in grid if (g["depth"], g["rate"], g["l2"]) == f}) for f in fits}
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for k, depth, rate, l2 in b.itertuples(index=False):
+                trees = boosting.grow(*data.value, max(after[depth, rate, l2]), rate, depth, l2)
+                yield pd.DataFrame({"k": [k], "trees": [pickle.dumps(trees)]})
+
+    table = spark.createDataFrame([(k, *f) for k, f in enumerate(fits)], "k int, depth int, rate double, l2 double")
+    grown = {r.k: pickle.loads(r.trees) for r in table.repartitionByRange(len(fits), "k").mapInPandas(fit, "k int, trees binary").collect()}
+    held = spark.sparkContext.broadcast(grown)
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            codes = boosting.binned(b[list(columns)].to_numpy(dtype=float), edges)
+            for k, f in enumerate(fits):
+                for rounds, p in zip(after[f], boosting.probabilities(held.value[k], codes, after[f]), strict=True):
+                    yield pd.DataFrame({"k": k, "rounds": rounds, "y": b["label"].to_numpy(), "p": p})
+
+    scored = test.select(*columns, F.col("label").cast("int").alias("label")).mapInPandas(score, "k int, rounds int, y int, p double")
+    by = ["k", "rounds"]
+    found = metrics.information_gain(scored, F.lit(base), by).join(metrics.roc_auc(scored, by), by)
+    return found.join(F.broadcast(table), "k").select("rounds", "depth", "rate", "l2", "ig_bits", "auc")
 
 
 def label_balance(df: DataFrame, label: str = "label", by: Sequence[str] = ("split",)) -> DataFrame:

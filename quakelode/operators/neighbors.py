@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +34,17 @@ def _columns_in(band: Column, height: float, radius_km: float, earth_km: float)
     return F.when((reach >= 1) | (width > 120), 1).otherwise(F.floor(360 / width)).cast("int")
 
 
-def neighbour_pairs(left: DataFrame, right: DataFrame, radius_km: float, days: tuple[float, float] | None = None, earth_km: float = EARTH_KM, lat: str = "latitude", lon: str = "longitude", t: str = "t", strict: bool = False, broadcast_left: bool = False) -> DataFrame:
+def _unit(lat: Column, lon: Column) -> list[Column]:
+    """The place on the unit sphere."""
+    return [F.cos(F.radians(lat)) * F.cos(F.radians(lon)), F.cos(F.radians(lat)) * F.sin(F.radians(lon)), F.sin(F.radians(lat))]
+
+
+def chord2(km: float, earth_km: float) -> float:
+    """Squared straight distance, in radii, of two places so far apart."""
+    return 4 * math.sin(min(math.pi / 2, km / (2 * earth_km))) ** 2
+
+
+def neighbour_pairs(left: DataFrame, right: DataFrame, radius_km: float, days: tuple[float, float] | None = None, earth_km: float = EARTH_KM, lat: str = "latitude", lon: str = "longitude", t: str = "t", strict: bool = False, broadcast_left: bool = False, chord: str | None = None) -> DataFrame:
     """All pairs of rows within the radius, with km; columns of right get the prefix ``r_``.
 
     days = (low, high): besides, low * 86400 <= left.t - right.t <= high * 86400 (t in epoch seconds); callers add what
@@ -45,9 +56,12 @@ def neighbour_pairs(left: DataFrame, right: DataFrame, radius_km: float, days: t
     pairs; a swarm is spread over time buckets, and what is still too much in one bucket is split by AQE's skewed join.
     left should be the smaller side; it is dealt to the session's number of tasks before it is copied, since a few bytes
     here make much trigonometry. broadcast_left: if it has BROADCAST_ROWS rows at most, right isn't shuffled at all.
+    Places become points of the unit sphere once a row; straight distances, a few products, sort out all but the near
+    pairs, for which alone km is computed. chord: the name of a column of
+    squared straight distances, in place of km; then pairs beyond the radius by less than rounding may stay.
     """
     height = _bands(radius_km, earth_km)
-    band_, col_, when_, n_ = fresh([*left.columns, *(f"r_{c}" for c in right.columns)], "band", "bucket", "period", "buckets")
+    band_, col_, when_, n_, c2_, *axes = fresh([*left.columns, *(f"r_{c}" for c in right.columns)], "band", "bucket", "period", "buckets", "chord", "x", "y", "z", "r_x", "r_y", "r_z")
     span = None if days is None else max(1.0, (days[1] - days[0]) * DAY / PERIODS)
 
     def band(x: Column) -> Column:
@@ -57,11 +71,12 @@ def neighbour_pairs(left: DataFrame, right: DataFrame, radius_km: float, days: t
         return F.least(F.floor((F.pmod(x + 180, F.lit(360.0))) / 360 * n), n - 1).cast("int")
 
     r = right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns)).where(F.col(f"r_{lat}").isNotNull() & F.col(f"r_{lon}").isNotNull())
-    r = r.withColumn(band_, band(F.col(f"r_{lat}")))
+    r = r.withColumns(dict(zip(axes[3:], _unit(F.col(f"r_{lat}"), F.col(f"r_{lon}")), strict=True))).withColumn(band_, band(F.col(f"r_{lat}")))
     r = r.withColumn(col_, bucket(F.col(f"r_{lon}"), _columns_in(F.col(band_), height, radius_km, earth_km)))
     small = broadcast_left and left.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     l = left.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
     l = l if small else l.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), *left.columns)
+    l = l.withColumns(dict(zip(axes[:3], _unit(F.col(lat), F.col(lon)), strict=True)))
     l = l.withColumn(band_, F.explode(F.array(*(band(F.col(lat)) + d for d in (-1, 0, 1)))))
     l = l.withColumn(n_, _columns_in(F.col(band_), height, radius_km, earth_km))
     here = bucket(F.col(lon), F.col(n_))
@@ -73,9 +88,13 @@ def neighbour_pairs(left: DataFrame, right: DataFrame, radius_km: float, days: t
         l = l.withColumn(when_, F.explode(F.sequence(first, last)))
         on.append(when_)
     km = great_circle_km(F.col(lat), F.col(lon), F.col(f"r_{lat}"), F.col(f"r_{lon}"), earth_km)
-    pairs = (r.join(F.broadcast(l), on) if small else l.join(r, on)).where(F.abs(F.col(lat) - F.col(f"r_{lat}")) <= height)
+    c2 = reduce(Column.__add__, ((F.col(a) - F.col(b)) * (F.col(a) - F.col(b)) for a, b in zip(axes[:3], axes[3:], strict=True)))
+    pairs = (r.join(F.broadcast(l), on) if small else l.join(r, on)).where(c2 <= chord2(radius_km, earth_km) * (1 + 1e-9))
     if days is not None:
         age = F.col(t) - F.col(f"r_{t}")
         pairs = pairs.where((age >= days[0] * DAY) & (age <= days[1] * DAY))
-    pairs = pairs.withColumn("km", km)
-    return pairs.where(F.col("km") < radius_km if strict else F.col("km") <= radius_km).drop(*on)
+    pairs = pairs.withColumn(c2_, c2).drop(*on, *axes)
+    if chord:  # callers that rarely need the distance take it from the places
+        return pairs.withColumnRenamed(c2_, chord)
+    pairs = pairs.drop(c2_).withColumn("km", km)
+    return pairs.where(F.col("km") < radius_km if strict else F.col("km") <= radius_km)

@@ -9,7 +9,7 @@ from quakelode.constants import DAY, EARTH_KM
 from quakelode.functions import times
 from quakelode.functions.etas import time_integral
 from quakelode.functions.geo import albers_xy, great_circle_km
-from quakelode.operators import etas, features, learn
+from quakelode.operators import features, learn
 from quakelode.plans.registry import Registry, albers_sql, km_sql, rounded_to
 from quakelode.sources import catalog, derived
 
@@ -188,12 +188,6 @@ def j16_history_by_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("role").agg(F.count("*").alias("history"), F.count_if(F.col("split") == F.col("role")).alias("own"))
 
 
-@query()
-def s11_random_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = derived.table(spark, sf_dir, "orders").count()
-    return etas.random_events(spark, n, (25.0, 50.0, -90.0, -65.0), (1.75, 6.0), (0, 365), 42)
-
-
 @query(WITH + ", h as (select * from seismic where t >= 820454400 and t < 915148800) select count(*) as n, min(t) as first_t, max(t) as last_t from h")
 def a9_bounded_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.bounded_history(derived.seismic(spark, sf_dir), 820454400, 915148800).agg(F.count("*").alias("n"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))

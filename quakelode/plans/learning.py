@@ -199,9 +199,9 @@ def grid_forecast(spark: SparkSession, sf_dir: str, rounds: int = 400) -> tuple[
     """(scored test rows, calibrated judge rows, scored grid of the judge's dates): the flagship run, model and all."""
     from quakelode.plans.cells import _issues
 
-    known = catalog.complete(derived.seismic(spark, sf_dir)).cache()
+    known = catalog.written(catalog.complete(derived.seismic(spark, sf_dir)), "complete")
     columns = learn.FEATURE_SETS["baseline"]
-    train, test, judge = (_examples(spark, sf_dir, s, known).cache() for s in ("train", "test", "judge"))
+    train, test, judge = (catalog.written(_examples(spark, sf_dir, s, known), f"examples-{s}") for s in ("train", "test", "judge"))
     model = learn.boosted(train, columns, rounds=rounds)
     raw = learn.scored(model, test, columns)
     calibrated = learn.calibrated(raw, learn.scored(model, judge, columns))
@@ -240,10 +240,19 @@ def m6_principal_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learn.components(derived.seismic(spark, sf_dir), columns, 2).select("event_id", "pc_1", "pc_2")
 
 
+def settings_of_the_sweep() -> list[dict]:
+    return [{"rounds": n, "depth": d, "rate": r, "l2": x} for n in (200, 400, 800) for d in (3, 4, 6) for r in (0.01, 0.05, 0.1) for x in (0.1, 1.0, 5.0)]
+
+
 @query()
 def m8_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = derived.seismic(spark, sf_dir)
-    rows = features.event_labels(s, s).cache()
-    settings = [{"rounds": n, "depth": d, "rate": r} for n in (200, 400, 800) for d in (3, 4, 6) for r in (0.01, 0.05, 0.1)]
-    best = learn.sweep(rows.where("split = 'train'"), rows.where("split = 'test'"), ["latitude", "longitude", "depth_km", "magnitude"], settings)
-    return spark.createDataFrame([(o["depth"], o["rate"], ig) for o, ig in best], "depth int, rate double, ig_bits double")
+    rows = features.event_labels(s, s).select("event_id", "split", "label", "latitude", "longitude", "depth_km", "magnitude")
+    rows = catalog.written(rows, "sweep")
+    return learn.sweep(rows.where("split = 'train'"), rows.where("split = 'test'"), ["latitude", "longitude", "depth_km", "magnitude"], settings_of_the_sweep())
+
+
+@query()
+def w7_best_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five settings of the sweep with the greatest gain; ties go to fewer rounds, then smaller values."""
+    return m8_sweep(spark, sf_dir).orderBy(F.desc("ig_bits"), "rounds", "depth", "rate", "l2").limit(5)

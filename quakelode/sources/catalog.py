@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,6 +13,7 @@ from quakelode.constants import COMPLETENESS, DAY
 from quakelode.functions.geo import valid_place
 from quakelode.functions.times import epoch_seconds, utc
 from quakelode.operators.names import fresh
+from quakelode.sources.paths import shared_dir
 
 OBSERVATIONS = T.StructType([T.StructField(n, T.StringType() if n in ("source", "station_id", "parameter") else T.TimestampType() if n == "time" else T.DoubleType()) for n in ("source", "time", "latitude", "longitude", "depth_km", "magnitude", "station_id", "parameter", "value")])
 REQUIRED = ("source", "time", "latitude", "longitude", "magnitude")
@@ -143,6 +145,13 @@ def write_table(df: DataFrame, path: str, by: str | None = None) -> None:
     (w.partitionBy(by) if by else w).parquet(path)
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df written to the shared folder and read again: what several jobs read is computed once, and no executor's loss undoes it."""
+    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    write_table(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_report(df: DataFrame, path: str) -> None:
     """One row of nested fields as JSON."""
     df.coalesce(1).write.mode("overwrite").json(path)
