@@ -103,7 +103,7 @@ def scorecard(predictions: DataFrame, base: DataFrame | None = None, threshold:
     by = ["model", "split"]
     base = base if base is not None else predictions.where("split = 'train'").groupBy("model").agg(F.avg("y").alias("base"))
     out = proper_scores(predictions, by, clip)
-    parts = [information_gain(predictions.join(F.broadcast(base), "model"), F.col("base"), by, clip), calibration_error(predictions, by, closed), roc_auc(predictions, by), average_precision(predictions, by), confusion(predictions, by, threshold)]
+    parts = [information_gain(predictions.join(base, "model"), F.col("base"), by, clip), calibration_error(predictions, by, closed), roc_auc(predictions, by), average_precision(predictions, by), confusion(predictions, by, threshold)]
     for part in parts:
         out = out.join(part, by, "left")
     return out

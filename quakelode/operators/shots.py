@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TWO_BITS = ("00", "01", "10", "11")
+#: Edges of a graph that one row holds, and up to how many edges (2 MB) these rows are broadcast to all colourings.
+EDGES_IN_A_ROW, BROADCAST_EDGES = 1000, 100_000
 
 
 def probabilities(shots: DataFrame) -> DataFrame:
@@ -62,8 +64,12 @@ def mitigated(shots: DataFrame, matrix: DataFrame) -> DataFrame:
 
     matrix has four rows; many runs are solved at once in each batch of a partition.
     """
-    rows = {r["prepared"]: [r[f"p_{b}"] for b in TWO_BITS] for r in matrix.collect()}
+    rows = {r["prepared"]: [r[f"p_{b}"] for b in TWO_BITS] for r in matrix.limit(len(TWO_BITS) + 1).collect()}
+    if missing := sorted(set(TWO_BITS) - set(rows)):
+        raise ValueError(f"no calibration for the prepared states {missing}")
     m = np.array([rows[b] for b in TWO_BITS]).T
+    if abs(np.linalg.det(m)) < 1e-12:
+        raise ValueError("the calibration doesn't tell the prepared states apart")
     counts = shots.groupBy("run_id").agg(*(F.sum(F.when(F.col("bitstring") == b, F.col("n")).otherwise(0)).cast("double").alias(f"c{i}") for i, b in enumerate(TWO_BITS)))
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -87,7 +93,7 @@ def extrapolated(measured: DataFrame) -> DataFrame:
 
 def energies(expectations: DataFrame, coefficients: DataFrame) -> DataFrame:
     """(run_id, energy): (run_id, term, value) weighted by (term, coefficient); terms without a value count 0."""
-    return expectations.join(F.broadcast(coefficients), "term").groupBy("run_id").agg(F.sum(F.col("value") * F.col("coefficient")).alias("energy"))
+    return expectations.join(coefficients, "term").groupBy("run_id").agg(F.sum(F.col("value") * F.col("coefficient")).alias("energy"))
 
 
 def calibration_report(qubits: DataFrame, edges: DataFrame, least_t1: float = 0.0) -> DataFrame:
@@ -99,8 +105,14 @@ def calibration_report(qubits: DataFrame, edges: DataFrame, least_t1: float = 0.
 
 
 def cut_values(shots: DataFrame, edges: DataFrame) -> DataFrame:
-    """(run_id, mean_cut, best_cut, optimum_share): edges (a, b) cut by each sampled colouring, and how often the best of the run came."""
-    other = F.expr("substring(bitstring, -a - 1, 1) <> substring(bitstring, -b - 1, 1)")
-    cuts = shots.join(F.broadcast(edges)).groupBy("run_id", "bitstring", "n").agg(F.count_if(other).alias("cut"))
+    """(run_id, mean_cut, best_cut, optimum_share): edges (a, b) cut by each sampled colouring, and how often the best of the run came.
+
+    Each colouring meets the edges some at a time and leaves one number for each lot, not a row for each edge.
+    """
+    many = edges.count()
+    parts = edges.groupBy(F.pmod(F.xxhash64("a", "b"), F.lit(max(1, -(-many // EDGES_IN_A_ROW)))).alias("part")).agg(F.collect_list(F.struct("a", "b")).alias("edges"))
+    other = lambda e: F.substr("bitstring", -e["a"] - 1, F.lit(1)) != F.substr("bitstring", -e["b"] - 1, F.lit(1))
+    met = shots.crossJoin(F.broadcast(parts) if many <= BROADCAST_EDGES else parts)
+    cuts = met.withColumn("cut", F.size(F.filter("edges", other)).cast("long")).groupBy("run_id", "bitstring", "n").agg(F.sum("cut").alias("cut"))
     cuts = cuts.withColumn("best", F.max("cut").over(Window.partitionBy("run_id")))
     return cuts.groupBy("run_id").agg((F.sum(F.col("cut") * F.col("n")) / F.sum("n")).alias("mean_cut"), F.first("best").alias("best_cut"), (F.sum(F.when(F.col("cut") == F.col("best"), F.col("n")).otherwise(0)) / F.sum("n")).alias("optimum_share"))

@@ -180,6 +180,12 @@ def w3_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.duplicate_events(s).select(F.col("time").alias("period"), F.col("latitude").alias("place"), "n")
 
 
+@query(WITH + ", twice as (select t, latitude, longitude, magnitude from seismic union all select t, latitude, longitude, magnitude from seismic where event_id % 50 = 0) select t, round(latitude, 6) as latitude, round(longitude, 6) as longitude, magnitude, count(*) as n from twice group by t, twice.latitude, twice.longitude, magnitude having count(*) > 1")
+def w3_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = derived.seismic(spark, sf_dir)
+    return catalog.duplicate_events(s.unionByName(s.where("event_id % 50 = 0")).withColumn("time", F.col("t"))).select(F.col("time").alias("t"), r6("latitude"), r6("longitude"), "magnitude", "n")
+
+
 @query(WITH + ", roles as (select unnest(['train','test','judge']) as role, unnest([1,2,3]) as k) select role, count(*) as history, count(*) filter (split = role) as own from roles, seismic where k >= case split when 'train' then 1 when 'test' then 2 else 3 end group by role")
 def j16_history_by_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = derived.seismic(spark, sf_dir)

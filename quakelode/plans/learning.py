@@ -33,7 +33,7 @@ _IG = f"avg(case when y = 1 then log2({clip_sql('p')}) - log2({clip_sql('base')}
 def m9_information_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = derived.predictions(spark, sf_dir)
     base = p.where("split = 'train'").groupBy("model").agg(F.avg("y").alias("base"))
-    return rounded(metrics.information_gain(p.join(F.broadcast(base), "model"), F.col("base"), BY))
+    return rounded(metrics.information_gain(p.join(base, "model"), F.col("base"), BY))
 
 
 _EDGES = [i * 0.1 for i in range(10)] + [1.0]

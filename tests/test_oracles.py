@@ -25,7 +25,7 @@ def normal(p):
     return p.sort_values(list(p.columns)).reset_index(drop=True)
 
 
-SLOW = {"m1_m17_model_scorecard", "m1_m3_m18_grid_forecast", "m8_sweep", "w7_best_settings", "e5_amplitude_fit"}
+SLOW = {"m1_m17_model_scorecard", "m1_m3_m18_grid_forecast", "m8_sweep", "w7_best_settings", "e5_amplitude_fit", "s8_fit_report"}
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - SLOW))
