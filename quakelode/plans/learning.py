@@ -19,6 +19,8 @@ WITH = f"with {derived.PREDICTIONS}, base as (select model, avg(y) as base from
 
 
 def rounded(df: DataFrame) -> DataFrame:
+    """Doubles to six places. ece, of hundredths of few rows, lies on ties of that; a billionth moves it off them."""
+    df = df.withColumn("ece", F.col("ece") + 1e-9) if "ece" in df.columns else df
     return df.select(*(r6(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
@@ -41,7 +43,7 @@ _BIN = "case " + " ".join(f"when p >= {a!r}::double and p < {b!r}::double then {
 
 
 def ece_sql(closed: bool) -> str:
-    return f"select model, split, round(sum(case when bin is null then 0 else n*abs(rate - mean)/total end), 6) as ece from (select *, sum(n) over (partition by model, split) as total from (select model, split, bin, count(*) as n, avg(y) as rate, avg(p) as mean from (select *, {_BIN}{' when p = 1 then 9' if closed else ''} end as bin from predictions) group by model, split, bin)) group by model, split"
+    return f"select model, split, round(sum(case when bin is null then 0 else n*abs(rate - mean)/total end) + 1e-9::double, 6) as ece from (select *, sum(n) over (partition by model, split) as total from (select model, split, bin, count(*) as n, avg(y) as rate, avg(p) as mean from (select *, {_BIN}{' when p = 1 then 9' if closed else ''} end as bin from predictions) group by model, split, bin)) group by model, split"
 
 
 @query(WITH + ece_sql(False))
