@@ -10,10 +10,10 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
-#: Chunks whose ids a Python worker keeps (about 60 MB); what comes later is encoded each time.
-CACHE = 300_000
+#: Chunks whose ids a Python worker keeps (about 50 MB); what comes later is encoded each time.
+CACHE = 250_000
 #: A longer text is split and encoded in runs of about so many bytes.
-RUN_BYTES = 1 << 21
+RUN_BYTES = 1 << 20
 #: The characters that stand for bytes which are no printable Latin-1 character, in the order of these bytes.
 UNPRINTABLE = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
 BYTE_CHARACTERS = {b: chr(256 + k) for k, b in enumerate(UNPRINTABLE)}

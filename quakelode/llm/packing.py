@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from quakelode.llm.encode import encoded, grouped
 from quakelode.llm.shared import materialize
@@ -283,16 +284,16 @@ def pack(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     plan = bin_completion({r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)
     runs = spark.sparkContext.broadcast(_places(plan))
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(LongType())
+    def place(length: pa.Array, rank: pa.Array) -> pa.Array:
+        """The sequence times the capacity, and the offset: ids themselves stay out of Python."""
         r = runs.value
-        key = (r["length"] << 44) + r["rank"]
-        for batch in batches:
-            length, rank = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (3, 5))
-            at = np.searchsorted(key, (length << 44) + rank, "right") - 1
-            past = rank - r["rank"][at]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(r["sequence"][at] + past // r["each"][at]), pa.array(r["offset"][at] + past % r["each"][at] * length)], names=["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"])
+        length, rank = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in (length, rank))
+        at = np.searchsorted((r["length"] << 44) + r["rank"], (length << 44) + rank, "right") - 1
+        past = rank - r["rank"][at]
+        return pa.array((r["sequence"][at] + past // r["each"][at]) * capacity + r["offset"][at] + past % r["each"][at] * length)
 
     before = counts.select("task", "length", (F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")).alias("before"))
     before = F.broadcast(before) if counts.count() <= BROADCAST_ROWS else before
-    ranked = cut.join(before, ["task", "length"]).select("doc_id", "piece", "start", "length", "ids", (F.col("before") + F.col("nth")).alias("rank"))
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long")
+    ranked = cut.join(before, ["task", "length"]).withColumn("place", place("length", F.col("before") + F.col("nth")))
+    return ranked.select("doc_id", "piece", "start", "length", "ids", F.expr(f"place div {capacity}").alias("sequence_id"), (F.col("place") % capacity).alias("offset"))
