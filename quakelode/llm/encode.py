@@ -10,8 +10,8 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
-#: Chunks whose ids a Python worker keeps (about 50 MB); what comes later is encoded each time.
-CACHE = 250_000
+#: Chunks whose ids a Python worker keeps (about 25 MB); what comes later is encoded each time.
+CACHE = 120_000
 #: A longer text is split and encoded in runs of about so many bytes.
 RUN_BYTES = 1 << 20
 #: The characters that stand for bytes which are no printable Latin-1 character, in the order of these bytes.
