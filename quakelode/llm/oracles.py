@@ -46,3 +46,28 @@ case when len({every}) > 0 then 1.0::double else coalesce(share, 0.0::double) en
 
 
 LICENSES = _license_sql()
+
+RESAMPLING = rf"""with t as (select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end)) as t),
+d as (select doc_id, row_number() over () as r, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+e as (select r, unnest(w) as w from d), x as (select unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as w from benchmark),
+h as (select w, hex(encode(w)) as h from (select w from e union select w from x)),
+b as (select w, (xor(list_reduce(list_prepend(4294967295, list_transform(range(len(h)//2), lambda i: ('0x' || substr(h, 2*i + 1, 2))::bigint)), lambda c, y: xor(c // 256, t[(xor(c, y) % 256) + 1])), 4294967295) % 10000)::bigint as b from h, t),
+s as (select b, count(*) as s from e join b using (w) group by b), q as (select b, count(*) as t from x join b using (w) group by b),
+g as (select b, floor(1000*ln((coalesce(t, 0) + 1)::double*((select count(*) from e) + 10000)::double/((s + 1)::double*((select count(*) from x) + 10000)::double)))::bigint as g from s left join q using (b)),
+f as (select r, sum(g)::bigint as g from e join b using (w) join g using (b) group by r),
+z as (select doc_id, len(w)::bigint as n_features, coalesce(g, 0)::bigint as weight, ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::bigint as h from d left join f using (r)),
+v as (select doc_id, n_features, weight, weight + floor(-1000*ln(-ln((h + 0.5::double)/4294967296::double)))::bigint as score from z),
+k as (select *, row_number() over (partition by n_features >= 20 order by score desc, doc_id) as k from v)
+select doc_id, n_features, weight, score, case when n_features >= 20 and k <= 10*(select count(*) from v where n_features >= 20)//100 then k end as rank from k"""
+
+AUDIT = r"""with w as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+g as (select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels group by doc_id),
+f as (select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic, ['A', 'B', 'C', 'D', 'E'] as letters,
+[len(w) < 200, 100*len(list_distinct(w)) < 50*len(w), 100*length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2*length(text), regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > min(doc_id) over (partition by text), false)] as fails from w left join g using (doc_id)),
+m as (select part, list_reduce(list_prepend('', list_filter(letters, lambda c, i: fails[i])), lambda a, c: a || c) as mask, good, toxic, count(*) as n from f group by all),
+l as (select unnest(['A', 'B', 'C', 'D', 'E']) as c),
+o as (select a.c || b.c || d.c || e.c || f.c as filter_order from l a, l b, l d, l e, l f where len(list_distinct([a.c, b.c, d.c, e.c, f.c])) = 5),
+s as (select filter_order, step, filter_order[step] as c, filter_order[1:step-1] as before from o, (select unnest(range(1, 6)) as step)),
+x as (select part, filter_order, step, c, good, toxic, n, contains(mask, c) as fails, mask = c as only_it, len(list_filter(string_split(before, ''), lambda b: b <> '' and contains(mask, b))) > 0 as gone from m, s),
+y as (select part, filter_order, step, c, sum(case when not fails and not gone then n else 0 end)::bigint as kept, sum(case when fails and not gone then n else 0 end)::bigint as removed, sum(case when fails and gone then n else 0 end)::bigint as redundant, sum(case when only_it then n else 0 end)::bigint as unique_fails, sum(case when fails and not gone and good then n else 0 end)::bigint as good_lost, sum(case when fails and not gone and toxic then n else 0 end)::bigint as toxic_lost from x group by all)
+select part, filter_order, step::int as step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) over (partition by part, c)::bigint as shapley from y"""

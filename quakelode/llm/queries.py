@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quakelode.llm import cosine, lattice, lengths, licenses, minhash, mixing, neighbours, oracles, packing, quality, sharding
+from quakelode.llm import audit, cosine, lattice, lengths, licenses, minhash, mixing, neighbours, oracles, packing, quality, resampling, sharding, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,9 +73,44 @@ def quality_held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
 
 
+def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return resampling.resample(_documents(spark, sf_dir), target, buckets=10_000, least_words=20, percent=10, seed=2024)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interactions(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = toxicity.train(documents, labels.where(~held_out))
+    scored = documents.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), toxicity.score(model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+
+
+#: One query for each operator.
+QUERIES = (
+    op1_minhash_near_dedup,
+    op2_token_counts,
+    op3_embedding_near_dedup,
+    op4_best_fit_packing,
+    op5_license_scan,
+    op6_sharding,
+    op7_lm_scoring,
+    op8_nearest_neighbours,
+    op9_source_mixing,
+    op10_quality_classifier,
+    op11_target_resampling,
+    op12_filter_audit,
+    op13_toxicity,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_token_counts, op3_embedding_near_dedup, op4_best_fit_packing, op5_license_scan, op6_sharding, op7_lm_scoring, op8_nearest_neighbours, op9_source_mixing, op10_quality_classifier)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_near_dedup": oracles.MINHASH, "op3_embedding_near_dedup": oracles.COSINE, "op5_license_scan": oracles.LICENSES}
+    return {"op1_minhash_near_dedup": oracles.MINHASH, "op3_embedding_near_dedup": oracles.COSINE, "op5_license_scan": oracles.LICENSES, "op11_target_resampling": oracles.RESAMPLING, "op12_filter_audit": oracles.AUDIT}
