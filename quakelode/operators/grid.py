@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quakelode.constants import EARTH_MEAN_KM, FAULT_BUFFER_KM, GRID_STEP, LAT_MAX, LAT_MIN, LON_MAX, LON_MIN, RADIUS_KM
-from quakelode.functions.geo import albers_xy, cell_area_km2, cell_centre, clamped_index, floor_cell, to_segment_m
+from quakelode.functions.geo import cell_area_km2, cell_centre, clamped_index, floor_cell
 from quakelode.functions.times import date_seconds, month_index
-from quakelode.operators.names import fresh
+from quakelode.operators.lines import nearest_line_km
 from quakelode.operators.neighbors import neighbour_pairs
 
 
@@ -53,39 +53,6 @@ def scored_cells(spark: SparkSession, events: DataFrame, radius_km: float = RADI
     return neighbour_pairs(centres, places, radius_km, broadcast_left=True).select(*centres.columns).distinct()
 
 
-#: Segments up to this many (about 1 MB) are broadcast to all points; more are first sorted out by squares of this side.
-BROADCAST_SEGMENTS, SQUARE_M = 10_000, 50_000.0
-
-
-def nearest_line_km(points: DataFrame, segments: DataFrame, key: list[str], name: str, buffer_km: float = 0.0, digits: int | None = None, most: int = BROADCAST_SEGMENTS) -> DataFrame:
-    """Adds the planar distance to the nearest segment, less the buffer around it and at least 0.
-
-    With more than ``most`` segments, each square of the plane that holds points first finds the segments that can be
-    nearest to any point in it: those no farther from its centre than the nearest one and its diagonal together. The
-    squares of the whole Earth are a few hundred thousand and may be broadcast; points then meet their square's segments.
-    """
-    x, y = albers_xy(F.col("latitude"), F.col("longitude"))
-    px, py, sx, sy = fresh(points.columns, "px", "py", "square_x", "square_y")
-    placed = points.withColumns({px: x, py: y})
-    ends = ["x1", "y1", "x2", "y2"]
-    lines = segments.select(*ends)
-    d = to_segment_m(F.col(px), F.col(py), *(F.col(c) for c in ends)) / 1000
-    if segments.limit(most + 1).count() <= most:
-        met = placed.crossJoin(F.broadcast(lines))
-    else:
-        squared = placed.withColumns({sx: F.floor(F.col(px) / SQUARE_M), sy: F.floor(F.col(py) / SQUARE_M)})
-        squares = squared.select(sx, sy).distinct()
-        centre = to_segment_m((F.col(sx) + 0.5) * SQUARE_M, (F.col(sy) + 0.5) * SQUARE_M, *(F.col(c) for c in ends))
-        far = lines.crossJoin(F.broadcast(squares)).withColumn("from_centre", centre)
-        least = far.groupBy(sx, sy).agg(F.min("from_centre").alias("least"))
-        near = far.join(F.broadcast(least), [sx, sy]).where(F.col("from_centre") <= F.col("least") + SQUARE_M * 1.4143).select(sx, sy, *ends)
-        met = squared.join(near, [sx, sy])
-    near = met.groupBy(*key).agg(F.greatest(F.lit(0.0), F.min(d) - buffer_km).alias(name))
-    if digits is not None:
-        near = near.withColumn(name, F.round(name, digits))
-    return points.join(near, key, "left")
-
-
 def with_statics(cells: DataFrame, coast: DataFrame, fault: DataFrame) -> DataFrame:
     """Adds coast_km and fault_km to cells keyed by (row, col)."""
     out = nearest_line_km(cells, coast, ["row", "col"], "coast_km")
