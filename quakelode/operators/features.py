@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quakelode.constants import BAND_DAYS, BAND_EDGES_KM, COUNT_DAYS, DAY, DIST_MAX, EARTH_MEAN_KM, MAGNITUDE_DAYS, NO_EVENT_DAYS, RADIUS_KM, TARGET_MAGNITUDE, TIDE_SCALE_KM, WINDOW_DAYS
-from quakelode.functions.geo import great_circle_km
+from quakelode.constants import BAND_DAYS, COUNT_DAYS, DAY, DIST_MAX, EARTH_MEAN_KM, MAGNITUDE_DAYS, NO_EVENT_DAYS, RADIUS_KM, TARGET_MAGNITUDE, TIDE_SCALE_KM, WINDOW_DAYS
 from quakelode.functions.times import date_seconds, day_of, month_index
-from quakelode.operators.neighbors import chord2, neighbour_pairs
+from quakelode.operators.bands import band_names, band_sums
+from quakelode.operators.neighbors import neighbour_pairs
 
 CELL = ["row", "col"]
 
@@ -90,36 +90,6 @@ def event_labels(events: DataFrame, catalogue: DataFrame, radius_km: float = RAD
     return out.withColumn("uncensored", F.col("t") + days * DAY <= F.col("last_t")).drop("last_t")
 
 
-def band_names(edges: tuple[float, ...]) -> list[str]:
-    return [f"band_{lo:g}_{hi:g}_km" for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
-
-
-def band_sums(targets: DataFrame, history: DataFrame, edges: tuple[float, ...] = BAND_EDGES_KM, days: float | None = BAND_DAYS, least: float | None = None) -> DataFrame:
-    """Adds the sums of magnitudes of earlier events by distance: each band holds its lower edge, the last its upper too.
-
-    Earlier: strictly before the target and, with days, strictly younger. Distances within 1e-9 km of an edge are on it.
-    targets need an event_id. days None: all history.
-    """
-    past = history.select("t", "latitude", "longitude", "magnitude")
-    past = past if least is None else past.where(F.col("magnitude") > least)
-    side = targets.select("event_id", "t", "latitude", "longitude")
-    pairs = neighbour_pairs(side, past, edges[-1] + 1e-6, None if days is None else (0.0, days), EARTH_MEAN_KM, chord="chord").where("r_t < t")
-    pairs = pairs if days is None else pairs.where(F.col("t") - F.col("r_t") < days * DAY)
-    # the straight distance tells the band; only next to an edge the distance itself is needed
-    km = great_circle_km(F.col("latitude"), F.col("longitude"), F.col("r_latitude"), F.col("r_longitude"), EARTH_MEAN_KM)
-    passed = []  # edges at or below the pair's distance; the last one only if the distance is beyond it
-    for e in edges:
-        at, own = chord2(e, EARTH_MEAN_KM), km > e + 1e-9 if e == edges[-1] else km >= e - 1e-9
-        passed.append(F.when(F.abs(F.col("chord") - at) > 1e-9 * at + 1e-18, F.col("chord") > at).otherwise(own))
-    names = band_names(edges)
-    band = F.when(~passed[0] | passed[-1], None)
-    for k in range(len(names) - 1, -1, -1):
-        band = band.when(passed[k], k)
-    pairs = pairs.select("event_id", "r_magnitude", band.alias("band"))
-    sums = [F.coalesce(F.sum(F.when(F.col("band") == k, F.col("r_magnitude"))), F.lit(0.0)).alias(name) for k, name in enumerate(names)]
-    return targets.join(pairs.groupBy("event_id").agg(*sums), "event_id", "left").fillna(dict.fromkeys(names, 0.0))
-
-
 def with_coverage(targets: DataFrame, history: DataFrame, columns: list[str], days: float | None = BAND_DAYS, warmup: float = 0.0, start: int | None = None, before: int | None = None) -> DataFrame:
     """Adds full_window (the history reaches days back, or warmup for all history) and empties columns within the warm-up.
 

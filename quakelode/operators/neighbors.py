@@ -34,7 +34,7 @@ def _columns_in(band: Column, height: float, radius_km: float, earth_km: float)
     return F.when((reach >= 1) | (width > 120), 1).otherwise(F.floor(360 / width)).cast("int")
 
 
-def _unit(lat: Column, lon: Column) -> list[Column]:
+def unit_vector(lat: Column, lon: Column) -> list[Column]:
     """The place on the unit sphere."""
     return [F.cos(F.radians(lat)) * F.cos(F.radians(lon)), F.cos(F.radians(lat)) * F.sin(F.radians(lon)), F.sin(F.radians(lat))]
 
@@ -71,12 +71,12 @@ def neighbour_pairs(left: DataFrame, right: DataFrame, radius_km: float, days: t
         return F.least(F.floor((F.pmod(x + 180, F.lit(360.0))) / 360 * n), n - 1).cast("int")
 
     r = right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns)).where(F.col(f"r_{lat}").isNotNull() & F.col(f"r_{lon}").isNotNull())
-    r = r.withColumns(dict(zip(axes[3:], _unit(F.col(f"r_{lat}"), F.col(f"r_{lon}")), strict=True))).withColumn(band_, band(F.col(f"r_{lat}")))
+    r = r.withColumns(dict(zip(axes[3:], unit_vector(F.col(f"r_{lat}"), F.col(f"r_{lon}")), strict=True))).withColumn(band_, band(F.col(f"r_{lat}")))
     r = r.withColumn(col_, bucket(F.col(f"r_{lon}"), _columns_in(F.col(band_), height, radius_km, earth_km)))
     small = broadcast_left and left.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     l = left.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
     l = l if small else l.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), *left.columns)
-    l = l.withColumns(dict(zip(axes[:3], _unit(F.col(lat), F.col(lon)), strict=True)))
+    l = l.withColumns(dict(zip(axes[:3], unit_vector(F.col(lat), F.col(lon)), strict=True)))
     l = l.withColumn(band_, F.explode(F.array(*(band(F.col(lat)) + d for d in (-1, 0, 1)))))
     l = l.withColumn(n_, _columns_in(F.col(band_), height, radius_km, earth_km))
     here = bucket(F.col(lon), F.col(n_))
