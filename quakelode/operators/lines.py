@@ -15,6 +15,10 @@ from quakelode.operators.names import fresh
 WHOLE, COARSE = 26, 20
 #: Bits by which squares shrink from one level to the next below that, and those of the finest that may be.
 STEP, FINEST = 2, 8
+#: Segments that a square may well hold: fewer of them aren't worth another level.
+IN_SQUARE = 16
+#: Rows (square of points, segment) that are broadcast, some 5 MB.
+BROADCAST_ROWS = 100_000
 #: Added to projected metres, so that numbers of squares begin at 0.
 SHIFT_M = float(1 << (WHOLE - 1))
 
@@ -25,8 +29,8 @@ def _levels(segments: DataFrame) -> list[int]:
     if not n:
         return []
     wide = max(max(ends[1], ends[5]) - min(ends[0], ends[4]), max(ends[3], ends[7]) - min(ends[2], ends[6]), 1.0)
-    leaf = max(FINEST, min(COARSE, round(math.log2(wide / n**0.7))))
-    return [WHOLE, *range(COARSE, leaf, -STEP), leaf]
+    leaf = max(FINEST, min(COARSE, round(math.log2(wide / max(1.0, n / IN_SQUARE) ** 0.7))))
+    return sorted({WHOLE, *range(COARSE, leaf, -STEP), leaf}, reverse=True)
 
 
 def _square(metres: Column, bits: int) -> Column:
@@ -54,10 +58,10 @@ def near_squares(points: DataFrame, segments: DataFrame, levels: list[int]) -> D
     whose middles are at most two diagonals farther apart than the nearest pair's.
     """
     leaf, before, pairs = levels[-1], levels[0], None
+    points, segments = points.select("ax", "ay").distinct(), segments.select("bx", "by").distinct()
     for bits in levels:
-        down = bits - leaf
-        a = points.select(*(F.shiftright(c, down).alias(c) for c in ("ax", "ay"))).distinct()
-        b = segments.select(*(F.shiftright(c, down).alias(c) for c in ("bx", "by"))).distinct()
+        a, b = (df.select(*(F.shiftright(c, bits - leaf).alias(c) for c in df.columns)) for df in (points, segments))
+        a, b = (a.distinct(), b.distinct()) if bits > leaf else (a, b)
         if pairs is None:  # one square each, that of the whole plane
             pairs = a.join(b, (F.col("ax") == F.col("bx")) & (F.col("ay") == F.col("by")))
         else:
@@ -74,9 +78,12 @@ def near_squares(points: DataFrame, segments: DataFrame, levels: list[int]) -> D
 def nearest_line_km(points: DataFrame, segments: DataFrame, key: list[str], name: str, buffer_km: float = 0.0, digits: int | None = None) -> DataFrame:
     """Adds the planar distance to the nearest segment (x1, y1, x2, y2 in projected metres), less the buffer and at least 0.
 
-    Points meet only segments in squares that may hold their nearest one (near_squares), whatever the number of either.
+    Points meet only segments in squares that may hold their nearest one (near_squares), whatever the number of either;
+    which squares of points meet which segments is written down first, and broadcast if it has BROADCAST_ROWS rows at most.
     Points without a place, and all points where there is no segment, get null.
     """
+    from quakelode.sources.catalog import written
+
     ends = ["x1", "y1", "x2", "y2"]
     lines = segments.select(*ends).where(reduce(Column.__and__, (F.col(c).isNotNull() & ~F.isnan(c) for c in ends)))
     levels = _levels(lines)
@@ -84,11 +91,13 @@ def nearest_line_km(points: DataFrame, segments: DataFrame, key: list[str], name
         return points.withColumn(name, F.lit(None).cast("double"))
     x, y = albers_xy(F.col("latitude"), F.col("longitude"))
     own = fresh(ends + ["ax", "ay", "bx", "by", "km"], *(f"key{k}" for k in range(len(key))))
-    placed = points.select(*(F.col(c).alias(o) for c, o in zip(key, own, strict=True)), x.alias("px"), y.alias("py"))
-    placed = placed.where(F.col("px").isNotNull() & F.col("py").isNotNull() & ~F.isnan("px") & ~F.isnan("py"))
-    placed = placed.withColumns({"ax": _square(F.col("px"), levels[-1]), "ay": _square(F.col("py"), levels[-1])})
+    placed = points.where(reduce(Column.__and__, (F.col(c).isNotNull() & ~F.isnan(c) for c in ("latitude", "longitude"))))
+    placed = placed.select(*(F.col(c).alias(o) for c, o in zip(key, own, strict=True)), x.alias("px"), y.alias("py"))
+    # never null, so that no test for null, with the whole projection in it, is pushed down to each scan
+    placed = placed.withColumns({a: F.coalesce(_square(F.col(p), levels[-1]), F.lit(0)) for a, p in (("ax", "px"), ("ay", "py"))})
     held = segment_squares(lines, levels[-1])
-    met = placed.join(near_squares(placed, held, levels).join(held, ["bx", "by"]), ["ax", "ay"])
+    near = written(near_squares(placed, held, levels).join(held, ["bx", "by"]).drop("bx", "by").distinct(), "near-lines")
+    met = placed.join(F.broadcast(near) if near.count() <= BROADCAST_ROWS else near, ["ax", "ay"])
     least = F.min(to_segment_m(F.col("px"), F.col("py"), *(F.col(c) for c in ends))) / 1000 - buffer_km
     near = met.groupBy(*own).agg(F.greatest(F.lit(0.0), least).alias("km"))
     if digits is not None:
