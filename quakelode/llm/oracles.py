@@ -30,16 +30,25 @@ def _quoted(words: list[str]) -> str:
 
 def _license_sql() -> str:
     places = [f"list_filter(range(1, len(w) + 1), lambda i: {' and '.join(f'''w[i+{k}] = '{p}' ''' for k, p in enumerate(phrase.split()))}) as p{n}" for n, phrase in enumerate(licenses.PHRASES)]
-    templates = ", ".join(f"({k}, {_quoted(w)}, '{' '.join(t.phrase.split())}', '{t.label}', '{t.family}', {licenses.SHORT_BLOCK if len(w) < licenses.SHORT else licenses.BLOCK})" for k, (t, w) in enumerate((t, licenses.template_words(t.text)) for t in licenses.TEMPLATES))
+    told = sorted({" ".join(t.phrase.split()) for t in licenses.TEMPLATES})
+    further = max(len(p.split()) for p in told)
+    rows = []
+    for k, t in enumerate(licenses.TEMPLATES):
+        w, phrase = licenses.template_words(t.text), " ".join(t.phrase.split())
+        wide = licenses.SHORT_BLOCK if len(w) < licenses.SHORT else licenses.BLOCK
+        rows.append(f"({k}, {_quoted(w)}, '{phrase}', {_quoted(licenses.longer_phrases(phrase, told))}::varchar[], '{t.label}', {wide})")
+    templates = ", ".join(rows)
     base = "list_filter([" + ", ".join(f"case when len(p{n}) > 0 then '{label}' end" for n, label in enumerate(licenses.PHRASES.values())) + "], lambda x: x is not null)"
     every = "list_concat(list_concat(p0, p1), p2)"
     return rf"""with t as (select doc_id, row_number() over () as r, regexp_split_to_array({_LOWER}, '{licenses.SEPARATORS}') as w from documents),
 s as (select *, (w[1] = '')::int as shift, (len(w) > 1 and w[len(w)] = '')::int as tail, {', '.join(places)} from t),
-templates as (select * from (values {templates}) v(k, words, phrase, label, family, wide)),
-b as (select r, wide, pos, list_distinct(w[pos+1:pos+wide]) as b, ' ' || array_to_string(w[pos+1:pos+wide], ' ') || ' ' as s from (select r, w, wide, unnest(range(0, greatest(0, len(w) - 1 - wide//2) + 1, wide//2)) as pos from t, (select distinct wide from templates))),
-m as (select r, greatest(0, pos - shift) as pos, wide, family, label, len(list_intersect(b, words))/len(words)::double as share, len(list_intersect(b, words))/len(words)::double + len(list_intersect(b, words))/1e6::double as fit from b join (select r, shift from s) using (r) join templates using (wide) where len(list_intersect(b, words)) >= ceil({licenses.CONTAINMENT}::double*len(words) - 1e-9::double) and contains(s, ' ' || phrase || ' ')),
-f as (select *, (select max(fit) from m o where o.r = m.r and o.family = m.family and o.wide = m.wide and abs(o.pos - m.pos) < m.wide) as most from m),
-g as (select r, list(distinct label) filter (fit = most) as more, max(share) as share from f group by r)
+templates as (select *, len(string_split(phrase, ' ')) as parts from (values {templates}) v(k, words, phrase, longer, label, wide)),
+b as (select r, wide, pos, list_distinct(w[pos+1:pos+wide]) as b, w[pos+1:pos+wide+{further}] as s from (select r, w, wide, unnest(range(0, greatest(0, len(w) - 1 - wide//2) + 1, wide//2)) as pos from t, (select distinct wide from templates))),
+n as (select *, list_filter(range(1, wide - parts + 2), lambda i: array_to_string(s[i:i+parts-1], ' ') = phrase) as places from b join templates using (wide)
+where len(list_intersect(b, words)) >= ceil({licenses.CONTAINMENT}::double*len(words) - 1e-9::double)),
+m as (select r, label, len(list_intersect(b, words))/len(words)::double as share from n
+where phrase = '' or len(list_filter(places, lambda i: len(list_filter(longer, lambda q: array_to_string(s[i:i+len(string_split(q, ' '))-1], ' ') = q)) = 0)) > 0),
+g as (select r, list(distinct label) as more, max(share) as share from m group by r)
 select doc_id, (len(w) - shift - tail)::bigint as n_words, len({every})::bigint as n_base, (list_min({every}) - 1 - shift)::bigint as first_word, (list_max({every}) - 1 - shift)::bigint as last_word,
 array_to_string(list_sort({base}), ',') as base_labels, array_to_string(list_sort(list_distinct(list_concat({base}, coalesce(more, [])))), ',') as labels,
 case when len({every}) > 0 then 1.0::double else coalesce(share, 0.0::double) end as score from s left join g using (r)"""

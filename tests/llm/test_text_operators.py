@@ -270,6 +270,11 @@ def test_license_phrases_and_templates(spark, docs):
     ("Licensed under CC BY-NC-SA 4.0", "cc-by,cc-by-nc-sa"), ("der den mit.\nLicensed under the Apache License, Version 2.0", "apache"), ("nd ontiti nd. Licensed under CC BY-NC 4.0.", "cc-by,cc-by-nc"),
     ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "cc-by-nc"),
     ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "isc"),
+    ("Licensed under the MIT License or the Apache License, Version 2.0", "apache,mit"), ("Licensed under the MIT License or licensed under the Apache License, Version 2.0 at your option", "apache,mit"),
+    ("Licensed under CC BY-NC 4.0. Figures are licensed under CC BY 4.0", "cc-by,cc-by-nc"), ("Licensed under CC BY-SA 4.0 or licensed under CC BY-ND 4.0", "cc-by,cc-by-nd,cc-by-sa"),
+    ("This work is licensed under the GNU General Public License. This work is licensed under the GNU Lesser General Public License", "gpl,lgpl"),
+    ("This work is licensed under the GNU Lesser General Public License or under the terms of the GNU Affero General Public License", "agpl,gpl,lgpl"),
+    ("Released under the MIT License. Released under the MIT License. Released under the Apache License.", "apache,mit"),
     ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction", "mit"),
 ])
 def test_licenses_are_told_apart(spark, text, labels):
