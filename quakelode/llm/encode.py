@@ -10,8 +10,9 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
-#: Chunks whose ids a Python worker keeps (about 25 MB); what comes later is encoded each time.
-CACHE = 120_000
+#: Chunks whose ids a Python worker keeps (about 25 MB, 70 MB at most), and bytes of one; what comes later, and longer ones,
+#: are encoded each time.
+CACHE, CACHED_BYTES = 120_000, 100
 #: A longer text is split and encoded in runs of about so many bytes.
 RUN_BYTES = 1 << 20
 #: The characters that stand for bytes which are no printable Latin-1 character, in the order of these bytes.
@@ -64,8 +65,9 @@ def encoded(texts: list[str | None], path: str | None = None) -> list[bytes]:
     cache.update(zip(added, _encoded_chunks(tokenizer, added), strict=True))
     cache.update({c: cache[word] + cache[end] for c, (word, end) in parted.items()})
     out = [b"".join([b"".join(map(cache.__getitem__, run)) for run in runs]) for runs in pieces]
-    if len(cache) > CACHE:
-        for chunk in (*added, *parted):
+    full = len(cache) > CACHE
+    for chunk in (*added, *parted):
+        if full or len(chunk) > CACHED_BYTES:
             cache.pop(chunk, None)
     return out
 

@@ -17,6 +17,8 @@ from quakelode.llm.shared import materialize
 
 HEAD = 150_000  #: words, the most frequent, whose scores every task holds (about 25 MB); others are joined by shuffle
 FLUSH = 300_000  #: words that a task counts before it sends them
+LONG_BYTES = 80  #: a word of more bytes is never among the most frequent that every task holds
+FLUSH_BYTES = 16_000_000  #: of such words that a task counts before it sends them
 SPACE = "▁"  #: the mark that begins a word's first piece
 _B = np.uint64(0x9E3779B97F4A7C15)
 
@@ -197,7 +199,7 @@ def word_table(documents: DataFrame, text_col: str, learn: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: tuple[Counter[bytes], Counter[bytes]] = (Counter(), Counter())
-        rows = [0, 0]
+        rows, long_bytes = [0, 0], 0
 
         def send() -> pa.RecordBatch:
             words = list(counts[0] | counts[1])
@@ -209,9 +211,12 @@ def word_table(documents: DataFrame, text_col: str, learn: str) -> DataFrame:
         for batch in batches:
             for text, use in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 rows[bool(use)] += 1
-                counts[bool(use)].update((text.as_py() or "").encode().lower().split())
-                if len(counts[0]) + len(counts[1]) > FLUSH:
+                found = (text.as_py() or "").encode().lower().split()
+                counts[bool(use)].update(found)
+                long_bytes += sum(n for n in map(len, found) if n > LONG_BYTES)
+                if len(counts[0]) + len(counts[1]) > FLUSH or long_bytes > FLUSH_BYTES:
                     yield send()
+                    long_bytes = 0
         yield send()
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([rows[1]], pa.int64()), pa.array([sum(rows)], pa.int64())], names=["word", "c", "seen"])
 
@@ -277,11 +282,12 @@ def likelihoods(documents: DataFrame, learn: str, id_col: str = "doc_id", text_c
     weighed = materialize(words.mapInArrow(weigh, "word string, c long, seen long, p double"), "lattice-scores")
     # the least count whose words are HEAD at most, from the histogram of counts
     least, room = None, HEAD
-    for r in weighed.groupBy(F.least("seen", F.lit(100_000)).alias("seen")).count().orderBy(F.desc("seen")).collect():
+    short = F.octet_length("word") <= LONG_BYTES
+    for r in weighed.where(short).groupBy(F.least("seen", F.lit(100_000)).alias("seen")).count().orderBy(F.desc("seen")).collect():
         if r["count"] > room:
             break
         least, room = r["seen"], room - r["count"]
-    frequent = F.lit(False) if least is None else F.col("seen") >= least
+    frequent = F.lit(False) if least is None else (F.col("seen") >= least) & short
     top = weighed.where(frequent).select("word", "c", "p").toPandas()
     scale = math.log10(total + 0.5 * (kinds + 1))
     head = spark.sparkContext.broadcast(({w: k for k, w in enumerate(top["word"].str.encode("utf-8"))}, np.log10(top["c"].to_numpy(np.float64) + 0.5) - scale, top["p"].to_numpy(np.float64), top["c"].to_numpy() > 0))

@@ -17,8 +17,10 @@ from quakelode.llm.encode import encoded, grouped
 from quakelode.llm.shared import materialize
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many of it) in one sequence, longest first
-#: Fillings that the branch and bound looks at; beyond them the best solution so far stands.
-STEPS = 1_000_000
+#: Fillings and nodes that the branch and bound looks at; beyond them the best solution so far stands.
+STEPS = 20_000
+#: Fractions of a sequence to which the lower bound rounds lengths down.
+ROUNDED = 24
 #: Offsets of (task, length) up to this many rows (20 MB) are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -31,7 +33,12 @@ class Plan(NamedTuple):
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
-    """Sequences that any packing needs: for each k, items over capacity - k take one each and waste what fits nothing of k or more."""
+    """Sequences that any packing needs.
+
+    For each k, items over capacity - k take one each and waste what fits nothing of k or more. And for each k up to ROUNDED,
+    an item of more than a (k+1)-th of the capacity counts as a whole number of k-ths of a sequence, rounded down (exact
+    multiples count as they are): the items of one sequence then never count as more than one.
+    """
     sizes = np.array(sorted(counts), np.int64)
     n = np.array([counts[int(s)] for s in sizes], object)
     held = [int(x) for x in np.concatenate(([0], np.cumsum(sizes * n)))]
@@ -43,6 +50,9 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
         large, middle = many[-1] - many[a], many[a] - many[b]
         small, free = held[b] - held[c], middle * capacity - (held[a] - held[b])
         best = max(best, large + middle + max(0, -(-(small - free) // capacity)))
+    for k in range(1, ROUNDED + 1):
+        parts = sum(m * (k * s if (k + 1) * s % capacity == 0 else (k + 1) * s // capacity * capacity) for s, m in zip(map(int, sizes), n, strict=True))
+        best = max(best, -(-parts // (k * capacity)))
     large = many[-1] - many[at(capacity // 2, "right")]
     return max(best, large)
 
@@ -140,7 +150,8 @@ def bin_completion(counts: dict[int, int], capacity: int, steps: int = STEPS) ->
     fillings around an item come one by one, of any number of items, those that waste least first, and each as often as
     the counts allow, then less often; so the first way down follows the number of lengths and not that of pieces, and
     without a limit no plan is left out. A branch ends where the waste so far exceeds what a plan with one sequence less
-    may waste; the search ends at the lower bound or when ``steps`` fillings have been looked at.
+    may waste; the search ends at the lower bound or when ``steps`` fillings and nodes have been looked at, at some 2 ms
+    each. Where it doesn't reach the bound, Plan tells both.
     """
     counts = {int(s): int(n) for s, n in counts.items() if n}
     best, bound = best_fit(counts, capacity), lower_bound(counts, capacity)
@@ -213,7 +224,7 @@ def bin_completion(counts: dict[int, int], capacity: int, steps: int = STEPS) ->
         taken.append(way)
         move(pattern, times)
         wasted += times * waste
-        nodes += 1
+        nodes, spent = nodes + 1, spent + 1
         so_far = sum(n for _, n in plan) + sum(n for _, n, _ in taken) if not there or nodes & nodes - 1 == 0 else 0
         if not there:
             best, fewest = plan + [w[:2] for w in taken], so_far

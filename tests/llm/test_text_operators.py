@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quakelode.llm import lattice, lengths, licenses, minhash, mixing, packing, quality, sharding
+from quakelode.llm import encode, lattice, lengths, licenses, minhash, mixing, packing, quality, sharding
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 TR = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -447,3 +447,29 @@ def test_line_features_of_odd_rows():
     x, size, first = quality.line_features(data, offsets)
     assert list(np.diff(first)) == [1, 2, 3, 1, 2] and list(size) == [0, 1, 0, 0, 0, 0, 5, 4, 4]
     assert x[6, 5] == pytest.approx(2 / 3) and x[8, 10] == 1 and x[7, 10] == 0
+
+
+def test_long_chunks_are_not_kept():
+    """Text without white space makes chunks of many kB, each met once; their ids don't stay in the worker."""
+    rnd = random.Random(2)
+    tokenizer, cache, _ = encode._tokenizer(None)
+    for _ in range(20):
+        encode.encoded(["".join(chr(rnd.randint(0x4E00, 0x9FFF)) for _ in range(5000)) + f" word{rnd.random()}" for _ in range(10)])
+    assert max(map(len, cache)) <= encode.CACHED_BYTES
+
+
+def test_long_words_are_counted_in_pieces(spark, monkeypatch):
+    """Words of many bytes leave the counting task early and are never among those that all tasks hold."""
+    monkeypatch.setattr(lattice, "FLUSH_BYTES", 500)
+    rows = [(k, ("y" * 300 + f"{k % 3} ") * 2 + "short", k % 2 == 0) for k in range(12)]
+    got = {r.word: (r.c, r.seen) for r in lattice.word_table(spark.createDataFrame(rows, "doc_id long, text string, learn boolean"), "text", "learn").collect()}
+    want = collections.Counter(w for _, t, _ in rows for w in t.split())
+    assert {w: n for w, (_, n) in got.items() if w} == want and got["short"] == (6, 12) and got[None] == (6, 12)
+
+
+def test_bounds_of_packing():
+    """Three items of just over a third need more room than their sum says, and the search's limit holds for nodes too."""
+    assert packing.lower_bound({700: 3000}, 2048) == 1500
+    counts = {896: 1007, 601: 3, 814: 10, 1268: 3, 890: 7}
+    plan = packing.bin_completion(counts, 2048, 500)
+    assert plan.bound <= plan.sequences <= plan.bound + 1 and plan.steps <= 500
