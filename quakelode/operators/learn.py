@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from quakelode.constants import CLIP_GRID
 from quakelode.operators import boosting, metrics
+from quakelode.operators.selection import percentiles
 
 #: Train rows on which a sweep fits its settings.
 SWEEP_ROWS = 50_000
@@ -58,12 +59,12 @@ def angles(df: DataFrame, train: DataFrame, columns: Sequence[str]) -> DataFrame
 
 
 def imputed(df: DataFrame, train: DataFrame, columns: Sequence[str], exact: bool = True) -> DataFrame:
-    """Missing values (null or NaN) replaced by the train median: exact, or by approximate quantiles for very many rows."""
+    """Missing values (null or NaN) replaced by the train median: exact, or by approximate quantiles."""
     clean = {c: F.when(~F.isnan(c), F.col(c)) for c in columns}
     if not exact:
         model = Imputer(strategy="median", inputCols=list(columns), outputCols=list(columns), relativeError=1e-4).fit(train)
         return model.transform(df)
-    middle = train.withColumns(clean).agg(*(F.percentile(c, F.lit(0.5)).alias(f"__{c}") for c in columns))
+    middle = percentiles(train, [], {f"__{c}": v for c, v in clean.items()}, [0.5]).select(*(F.col(f"__{c}")[0].alias(f"__{c}") for c in columns))
     return df.withColumns(clean).crossJoin(F.broadcast(middle)).withColumns({c: F.coalesce(c, f"__{c}") for c in columns}).select(*df.columns)
 
 

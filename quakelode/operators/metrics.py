@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quakelode.constants import CLIP_GRID
+from quakelode.operators.selection import percentiles
 
 BINS = 10
 
@@ -93,7 +94,7 @@ def confusion(predictions: DataFrame, by: Sequence[str], threshold: float = 0.5)
 
 def reliability(predictions: DataFrame, by: Sequence[str], bins: int = BINS) -> DataFrame:
     """(by, bin, n, mean, rate) over bins between exact quantiles of p (the upper edge belongs to a bin); empty bins are absent."""
-    edges = predictions.groupBy(*by).agg(F.percentile("p", F.array(*(F.lit(k / bins) for k in range(1, bins)))).alias("edges"))
+    edges = percentiles(predictions, by, {"edges": F.col("p")}, [k / bins for k in range(1, bins)])
     binned = predictions.join(edges, [*by]).withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col("p"))))
     return binned.groupBy(*by, "bin").agg(F.count("*").alias("n"), F.avg("p").alias("mean"), F.avg("y").alias("rate"))
 

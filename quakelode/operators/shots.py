@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from quakelode.operators.selection import percentiles
 
 TWO_BITS = ("00", "01", "10", "11")
 #: Edges of a graph that one row holds, and up to how many edges (2 MB) these rows are broadcast to all colourings.
@@ -98,10 +99,13 @@ def energies(expectations: DataFrame, coefficients: DataFrame) -> DataFrame:
 
 def calibration_report(qubits: DataFrame, edges: DataFrame, least_t1: float = 0.0) -> DataFrame:
     """One row: medians over (qubit, t1, t2, readout_error) and (a, b, error), unusable edges (error >= 1), largest degree, best pair."""
-    q = qubits.agg(F.percentile("t1", F.lit(0.5)).alias("median_t1"), F.percentile("t2", F.lit(0.5)).alias("median_t2"), F.percentile("readout_error", F.lit(0.5)).alias("median_readout"), F.count_if(F.col("t1") <= least_t1).alias("unusable_qubits"))
-    e = edges.agg(F.percentile(F.when(F.col("error") < 1, F.col("error")), F.lit(0.5)).alias("median_error"), F.count_if(F.col("error") >= 1).alias("unusable_edges"), F.min(F.struct("error", "a", "b")).alias("best"))
+    names = {"median_t1": "t1", "median_t2": "t2", "median_readout": "readout_error"}
+    middle = percentiles(qubits, [], {name: F.col(c) for name, c in names.items()}, [0.5]).select(*(F.col(name)[0].alias(name) for name in names))
+    between = percentiles(edges, [], {"median_error": F.when(F.col("error") < 1, F.col("error"))}, [0.5]).select(F.col("median_error")[0].alias("median_error"))
+    q = middle.crossJoin(qubits.agg(F.count_if(F.col("t1") <= least_t1).alias("unusable_qubits")))
+    e = edges.agg(F.count_if(F.col("error") >= 1).alias("unusable_edges"), F.min(F.struct("error", "a", "b")).alias("best"))
     d = edges.select(F.explode(F.array("a", "b")).alias("qubit")).groupBy("qubit").count().agg(F.max("count").alias("largest_degree"))
-    return q.crossJoin(e).crossJoin(d).select("*", F.col("best.a").alias("best_a"), F.col("best.b").alias("best_b"), F.col("best.error").alias("best_error")).drop("best")
+    return q.crossJoin(between).crossJoin(e).crossJoin(d).select("*", F.col("best.a").alias("best_a"), F.col("best.b").alias("best_b"), F.col("best.error").alias("best_error")).drop("best")
 
 
 def cut_values(shots: DataFrame, edges: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quakelode.functions.geo import albers_xy
+from quakelode.operators.selection import percentiles
 
 GEOJSON = "features array<struct<geometry:struct<type:string,coordinates:string>>>"
 
@@ -33,5 +34,5 @@ def segments(vertices: DataFrame) -> DataFrame:
 def with_elevation(cells: DataFrame, elevations: DataFrame, key: str) -> DataFrame:
     """Adds elevation; cells without one get the median of those that have one, and null if none has."""
     joined = cells.join(elevations.select(key, "elevation"), key, "left")
-    middle = joined.agg(F.percentile("elevation", F.lit(0.5)).alias("middle"))
+    middle = percentiles(joined, [], {"middle": F.col("elevation")}, [0.5]).select(F.col("middle")[0].alias("middle"))
     return joined.crossJoin(F.broadcast(middle)).withColumn("elevation", F.coalesce("elevation", "middle")).drop("middle")
