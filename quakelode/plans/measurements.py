@@ -111,11 +111,16 @@ def c11_cut_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The catalogue as a stream: the same records once more, and some that are no events."""
+    """The catalogue as a stream of one file a year and batch: with some places that are none, some records twice, and in
+    each year's file some of two years before anew, with another depth."""
     path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     s = derived.seismic(spark, sf_dir).select("event_id", "time", F.when(F.col("event_id") % 29 == 0, 99.0).otherwise(F.col("latitude")).alias("latitude"), "longitude", "depth_km", "magnitude")
-    s.unionByName(s.where("event_id % 5 = 0")).write.parquet(path)
-    return spark.readStream.schema(s.schema).parquet(path)
+    twice, anew = s.where("event_id % 5 = 0"), s.where("event_id % 7 = 0").withColumn("depth_km", F.col("depth_km") + 1000)
+    first, last = s.agg(F.min(F.year("time")), F.max(F.year("time"))).first()
+    for year in range(first, last + 1):
+        parts = [df.where(F.year("time") == y) for df, y in ((s, year), (twice, year), (anew, year - 2))]
+        parts[0].unionByName(parts[1]).unionByName(parts[2]).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(s.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def _drained(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -124,10 +129,18 @@ def _drained(spark: SparkSession, stream: DataFrame, mode: str = "append") -> Da
     return spark.read.schema(stream.schema).parquet(f"{path}/data")
 
 
-@query(f"with {derived.SEISMIC} select event_id, t from seismic where event_id % 29 <> 0")
+_INGESTED = f"""with {derived.SEISMIC}, s as (select event_id, t, depth_km, year(make_timestamp(t*1000000)) as y from seismic where event_id % 29 <> 0),
+w as (select y, max(t) as latest from s group by y)
+select event_id, t, round(depth_km, 3) as depth_km from s
+union all select event_id, t, round(depth_km + 1000, 3) from s join w using (y) where event_id % 7 = 0 and t > latest - 2*86400 and y + 2 <= (select max(y) from w)"""
+
+
+@query(_INGESTED)
 def t1_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = streams.ingest(_stream(spark, sf_dir), "4000 days")
-    return _drained(spark, out).select("event_id", F.unix_timestamp("time").alias("t"))
+    """Records that come two years late are dropped, but for those of the last two days before their own year's last event:
+    a batch is held against the watermark that stood before the batch before it."""
+    out = streams.ingest(_stream(spark, sf_dir), "2 days")
+    return _drained(spark, out).select("event_id", F.unix_timestamp("time").alias("t"), F.round("depth_km", 3).alias("depth_km"))
 
 
 @query(f"with {derived.SEISMIC}, w as (select unnest(range(floor(t/86400)::bigint - 29, floor(t/86400)::bigint + 1)) as day, floor(latitude/0.5::double)::bigint as row, floor(longitude/0.5::double)::bigint as col from seismic), c as (select day*86400 as window_start, (day + 30)*86400 as window_end, row, col, count(*) as n from w group by all) select window_start, window_end, row, col, n from c where window_end <= (select max(t) from seismic)")
