@@ -16,7 +16,7 @@ from pyspark.sql.types import DoubleType
 from quakelode.llm.shared import discard, materialize, text_chunks
 
 SAMPLE = 2000  #: labelled documents of each class, those with the smallest hashes, from which the model is fitted
-SAMPLE_BYTES = 24_000_000  #: of texts of a class in the sample: documents count whole, in the order of the hashes
+SAMPLE_BYTES = 8_000_000  #: of texts of a class in the sample: documents count whole, in the order of the hashes
 LANDMARKS, LONGEST = 24, 11  #: landmark strings, and characters of one
 MORE = 4.0  #: how many times as often as by chance toxic documents must have a landmark
 LEAST = 0.003  #: share of toxic sentences that must have it beyond that
@@ -123,12 +123,15 @@ def choose_landmarks(toxic: Counter, clean: Counter, total: tuple[float, float])
     """
     expect, least = MORE * total[0] / max(total[1], 1e-9), max(3.0, LEAST * total[0])
     worth: Counter = Counter()
+    common: set[str] = set()
     for n in range(4, 8):
         level: Counter = Counter()
         for unit, weight in toxic.items():
             for g in _pieces(unit, (n,)):
-                level[g] += weight
+                if n == 4 or g[:-1] in common:  # a piece isn't more common than its beginning
+                    level[g] += weight
         level = Counter({g: w for g, w in level.items() if w >= least})
+        common = set(level)
         for unit, weight in clean.items():
             for g in level.keys() & _pieces(unit, (n,)):
                 level[g] -= expect * weight
@@ -186,7 +189,8 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float) -> Model:
     landmarks a sentence counts once however often it is repeated, and a document as ten sentences at most.
     """
     split = [[t for t in _SENTENCE.split(text) if t] for text in texts]
-    sentences = [[[u for w in words(t) for u in units(w)] for t in ts] for ts in split]
+    one: dict[str, str] = {}  # each unit once in memory, however often it comes
+    sentences = [[[one.setdefault(u, u) for w in words(t) for u in units(w)] for t in ts] for ts in split]
     weighed, total, met = (Counter(), Counter()), [0.0, 0.0], set()
     for ts, bag, y in zip(split, sentences, toxic, strict=True):
         weight = min(1.0, 10 / max(1, len(ts)))
@@ -219,7 +223,9 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float) -> Model:
         w = _svm(inputs, np.repeat([1.0, 1.0, 1.0, -1.0], sizes), np.repeat(weights, sizes))
         margin = x @ w[:-1] + w[-1]
     machine = Model(landmarks, white @ w[:-1], float(w[-1]), np.zeros(3))
-    k = _calibrated(_inputs(*evidence(machine, texts)), toxic.astype(np.float64))
+    del sentences, one, rows, kernel, x
+    k = _calibrated(np.concatenate([_inputs(*evidence(machine, texts[a : a + 100])) for a in range(0, len(texts), 100)]), toxic.astype(np.float64))
+    _cache.clear()
     k[2] += prior - np.log(max(toxic.sum(), 1) / max((1 - toxic).sum(), 1))
     return machine._replace(document=k)
 
