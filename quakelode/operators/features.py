@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quakelode.constants import BAND_DAYS, COUNT_DAYS, DAY, DIST_MAX, EARTH_MEAN_KM, MAGNITUDE_DAYS, NO_EVENT_DAYS, RADIUS_KM, TARGET_MAGNITUDE, TIDE_SCALE_KM, WINDOW_DAYS
+from quakelode.functions.geo import valid_place
 from quakelode.functions.times import date_seconds, day_of, month_index
 from quakelode.operators.bands import band_names, band_sums
 from quakelode.operators.neighbors import neighbour_pairs
@@ -79,12 +82,39 @@ def examples(cells: DataFrame, issues: DataFrame, history: DataFrame, own: DataF
     return out.join(forward_labels(near_events(cells, own), cells, issues).select(*CELL, "issue_date", "label"), [*CELL, "issue_date"])
 
 
+def _followed_in_cell(events: DataFrame, big: DataFrame, radius_km: float, days: int) -> DataFrame:
+    """Adds followed: one of big comes later and within the days in the event's own cell, in which no two places are farther
+    apart than the radius.
+
+    Time is cut into periods of so many days. A later event of the same period is near enough, and of the next period the
+    first one tells; so big is reduced to a row a cell and period.
+    """
+    height = math.degrees(math.sqrt(2) * math.sin(min(math.pi / 2, radius_km / (2 * EARTH_MEAN_KM)))) * (1 - 1e-6)
+    row = F.floor(F.col("latitude") / height)
+    inner = F.least(F.abs(row), F.abs(row + 1)) * height
+    col = F.floor(F.pmod(F.col("longitude") + 180, F.lit(360.0)) * F.cos(F.radians(inner)) / height)
+    here = valid_place(F.col("latitude"), F.col("longitude"))
+    place = {"__row": F.when(here, row), "__col": F.when(here, col), "__period": F.floor(F.col("t") / (days * DAY))}
+    key = list(place)
+    spans = big.withColumns(place).dropna(subset=key).groupBy(*key).agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    ahead = spans.select(*key, F.lit(None).cast("long").alias("__next"), F.col("last").alias("__last"))
+    ahead = ahead.unionByName(spans.select("__row", "__col", (F.col("__period") - 1).alias("__period"), F.col("first").alias("__next"), F.lit(None).cast("long").alias("__last")))
+    ahead = ahead.groupBy(*key).agg(F.min("__next").alias("__next"), F.max("__last").alias("__last"))
+    found = (F.col("__last") > F.col("t")) | (F.col("__next") <= F.col("t") + days * DAY)
+    return events.withColumns(place).join(ahead, key, "left").select(*events.columns, F.coalesce(found, F.lit(False)).alias("followed"))
+
+
 def event_labels(events: DataFrame, catalogue: DataFrame, radius_km: float = RADIUS_KM, days: int = WINDOW_DAYS, magnitude: float = TARGET_MAGNITUDE, at_least: bool = False) -> DataFrame:
     """Adds label to events: an event above (at_least: of) the magnitude follows within the days and the radius; and uncensored:
-    the catalogue reaches to the end of the days."""
+    the catalogue reaches to the end of the days.
+
+    Events followed in their own small cell need no pairs; only the others are compared. In a dense catalogue these are few,
+    so pairs don't grow with its square.
+    """
     big = catalogue.where(F.col("magnitude") >= magnitude if at_least else F.col("magnitude") > magnitude).select("t", "latitude", "longitude")
-    pairs = neighbour_pairs(events.select("event_id", "t", "latitude", "longitude"), big, radius_km, (-float(days), 0.0), EARTH_MEAN_KM)
-    hit = pairs.where("r_t > t").select("event_id").distinct().withColumn("label", F.lit(1))
+    side = _followed_in_cell(events.select("event_id", "t", "latitude", "longitude"), big, radius_km, days)
+    pairs = neighbour_pairs(side.where("not followed").drop("followed"), big, radius_km, (-float(days), 0.0), EARTH_MEAN_KM)
+    hit = side.where("followed").select("event_id").unionByName(pairs.where("r_t > t").select("event_id")).distinct().withColumn("label", F.lit(1))
     end = catalogue.agg(F.max("t").alias("last_t"))
     out = events.join(hit, "event_id", "left").fillna({"label": 0}).crossJoin(F.broadcast(end))
     return out.withColumn("uncensored", F.col("t") + days * DAY <= F.col("last_t")).drop("last_t")
