@@ -230,8 +230,8 @@ def m1_m17_model_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def m2_logistic_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = derived.seismic(spark, sf_dir)
-    rows = features.event_labels(s, s)
     columns = ["latitude", "longitude", "depth_km", "magnitude"]
+    rows = catalog.written(features.event_labels(s, s).select("event_id", "split", "label", *columns), "labelled")
     ready = learn.standardised(rows, rows.where("split = 'train'"), columns)
     return learn.scored(learn.logistic(ready.where("split = 'train'"), columns), ready, columns).select("event_id", "label", "p")
 
