@@ -2,8 +2,8 @@
 
 import numpy as np
 
-from quakelode.constants import DAY, EARTH_MEAN_KM
-from quakelode.operators import features
+from quakelode.constants import DAY, EARTH_MEAN_KM, PAPER
+from quakelode.operators import etas, features
 
 EVENTS = "event_id long, t long, latitude double, longitude double, magnitude double"
 
@@ -33,3 +33,19 @@ def test_labels_of_a_dense_catalogue_need_few_pairs(spark, monkeypatch):
         near = (t > t[k]) & (t <= t[k] + 30 * DAY) & (m > 2.0) & (kilometres((la, lo), (np.full(len(la), la[k]), np.full(len(la), lo[k]))) <= 100)
         assert got[k] == int(near.any()), k
     assert compared[0].count() < len(rows) / 3
+
+
+def test_sums_over_parents_make_no_row_of_a_pair(spark, monkeypatch):
+    monkeypatch.setattr(etas, "HELD", 40)
+    monkeypatch.setattr(etas, "PAIRS", 50)
+    rows, df = dense(spark, 600, 2)
+    t, la, lo, m = (np.array([r[k] for r in rows]) for k in (1, 2, 3, 4))
+    out = etas.intensity(df, df)
+    got = {r.event_id: r for r in out.collect()}
+    for k in range(len(rows)):
+        km, age = kilometres((la, lo), (np.full(len(la), la[k]), np.full(len(la), lo[k]))), (t[k] - t) / DAY
+        at = (age > 0) & (age < 180) & (km < 200) & (m > 1.75)
+        each = (age[at] + PAPER["c"]) ** -PAPER["p"] * (km[at] ** 2 * np.exp(-PAPER["a"] * (m[at] - 5)) + PAPER["d"]) ** -PAPER["q"]
+        assert got[k].parents == at.sum()
+        assert abs(got[k].intensity - PAPER["mu"] - PAPER["K"] * each.sum()) <= 1e-11 * max(1e-3, each.sum()), k
+    assert "r_magnitude" not in out._jdf.queryExecution().toString()
