@@ -49,3 +49,9 @@ def test_sums_over_parents_make_no_row_of_a_pair(spark, monkeypatch):
         assert got[k].parents == at.sum()
         assert abs(got[k].intensity - PAPER["mu"] - PAPER["K"] * each.sum()) <= 1e-11 * max(1e-3, each.sum()), k
     assert "r_magnitude" not in out._jdf.queryExecution().toString()
+
+
+def test_the_baseline_joins_its_labels_once(spark, sf):
+    from quakelode.plans.learning import m2_logistic_baseline
+
+    assert "orders.parquet" not in m2_logistic_baseline(spark, sf)._jdf.queryExecution().toString()
