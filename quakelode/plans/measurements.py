@@ -110,17 +110,25 @@ def c11_cut_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shots.cut_values(_shots(spark, sf_dir), edges).select("run_id", r6("mean_cut"), "best_cut", r6("optimum_share"))
 
 
+#: Rows in a file of the stream, more or less.
+STREAM_ROWS = 500_000
+
+
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The catalogue as a stream of one file a year and batch: with some places that are none, some records twice, and in
-    each year's file some of two years before anew, with another depth."""
+    """The catalogue as a stream of one batch a year: with some places that are none, some records twice, and in
+    each year's batch some of two years before anew, with another depth. All batches are of the same number of files,
+    which follows the year with the most rows; where rows are too few for so many, files without any make up for them."""
     path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     s = derived.seismic(spark, sf_dir).select("event_id", "time", F.when(F.col("event_id") % 29 == 0, 99.0).otherwise(F.col("latitude")).alias("latitude"), "longitude", "depth_km", "magnitude")
     twice, anew = s.where("event_id % 5 = 0"), s.where("event_id % 7 = 0").withColumn("depth_km", F.col("depth_km") + 1000)
-    first, last = s.agg(F.min(F.year("time")), F.max(F.year("time"))).first()
+    first, last, most = s.groupBy(F.year("time").alias("y")).agg(F.count("*").alias("n")).agg(F.min("y"), F.max("y"), F.max("n")).first()
+    files = -(-most // STREAM_ROWS)
     for year in range(first, last + 1):
         parts = [df.where(F.year("time") == y) for df, y in ((s, year), (twice, year), (anew, year - 2))]
-        parts[0].unionByName(parts[1]).unionByName(parts[2]).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(s.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        parts[0].unionByName(parts[1]).unionByName(parts[2]).repartition(files, "event_id").write.mode("append").parquet(path)
+        for _ in range(files * (year - first + 1) - len(spark.read.schema(s.schema).parquet(path).inputFiles())):
+            s.limit(0).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(s.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def _drained(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:

@@ -42,3 +42,15 @@ def test_rolling_counts_of_several_batches(spark, tmp_path):
     flat = [d for ds in days for d in ds]  # none is late, as the watermark trails by 45 days
     want = {s: n for s in range(-29, 81) if (n := sum(s <= d < s + 30 for d in flat)) and s + 30 <= 80 - 45}
     assert {s: n for s, n in got.items() if s in want} == want and all(n == sum(s <= d < s + 30 for d in flat) for s, n in got.items())
+
+
+def test_each_year_of_the_stream_is_one_batch_of_several_files(spark, sf, monkeypatch):
+    from quakelode.plans import measurements
+
+    monkeypatch.setattr(measurements, "STREAM_ROWS", 20)
+    seen = []
+    events = measurements._stream(spark, sf).where("event_id % 35 <> 34")
+    query = events.writeStream.foreachBatch(lambda df, k: seen.append((df.rdd.getNumPartitions(), sorted({r.y for r in df.where("depth_km < 1000").select(F.year("time").alias("y")).distinct().collect()})))).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert [y for _, y in seen] == [[1995 + k] for k in range(len(seen))]
+    assert len(seen) == 7 and max(n for n, _ in seen) > 1
