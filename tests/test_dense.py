@@ -55,3 +55,20 @@ def test_the_baseline_joins_its_labels_once(spark, sf):
     from quakelode.plans.learning import m2_logistic_baseline
 
     assert "orders.parquet" not in m2_logistic_baseline(spark, sf)._jdf.queryExecution().toString()
+
+
+def test_parents_as_rows_have_few_copies_and_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(etas, "HELD", 40)
+    monkeypatch.setattr(etas, "OUT_ROWS", 50)
+    rows, df = dense(spark, 400, 3)
+    out = etas.parents_of(df, df)
+    t, la, lo, m = (np.array([r[k] for r in rows]) for k in (1, 2, 3, 4))
+    want = set()
+    for k in range(len(rows)):
+        age, km = (t[k] - t) / DAY, kilometres((la, lo), (np.full(len(la), la[k]), np.full(len(la), lo[k])))
+        want |= {(k, int(j)) for j in np.flatnonzero((age > 0) & (age < 180) & (km < 200) & (m > 1.75))}
+    got = out.collect()
+    assert len(got) == len(want) > 1000 and {(r.event_id, r.r_event_id) for r in got} == want
+    assert all(r.age == (r.t - r.r_t) / DAY and r.r_magnitude == rows[r.r_event_id][4] for r in got)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" not in plan and "MapInArrow" in plan  # no side meets the other by 45 copies of each target
