@@ -51,6 +51,28 @@ def test_sums_over_parents_make_no_row_of_a_pair(spark, monkeypatch):
     assert "r_magnitude" not in out._jdf.queryExecution().toString()
 
 
+def test_cell_forecasts_make_no_row_of_a_pair(spark, monkeypatch):
+    monkeypatch.setattr(etas, "CELL_HELD", 60)
+    monkeypatch.setattr(etas, "NODES", 600)
+    rng, k = np.random.default_rng(4), PAPER
+    rows = [(n, int(rng.integers(0, 300 * DAY)), *map(float, rng.normal((40.0, -80.0), (0.8, 1.0)).round(1)), float(rng.integers(3, 9)) / 2) for n in range(400)]
+    asked = [(n, int(rng.integers(150 * DAY, 300 * DAY)), *map(float, rng.uniform((39.2, -81.0), (40.8, -79.0))), 0.0) for n in range(40)] + [(99, 200 * DAY, 26.0, -66.0, 0.0)]
+    out = etas.cell_forecast(spark.createDataFrame(asked, EVENTS), spark.createDataFrame([*rows, *rows[:50], (500, None, 40.0, -80.0, 3.0)], EVENTS))
+    assert "r_event_id" not in out._jdf.queryExecution().toString()
+    got = {r.event_id: r for r in out.collect()}
+    t, la, lo, m = (np.array([r[c] for r in [*rows, *rows[:50]]]) for c in (1, 2, 3, 4))
+    for n, when, x, y, _ in asked:
+        at = np.flatnonzero((t < when) & (when - t < 180 * DAY) & (m > 1.75) & (kilometres((la, lo), (np.full(len(la), x), np.full(len(la), y))) < 200))
+        cell = [np.full(len(at), int(np.floor((v - low) / 0.5))) for v, low in ((x, 25.0), (y, -90.0))]
+        space, gap = etas.cell_integrals(la[at], lo[at], m[at], *cell, k, 0.5, 5.0, 1e-6, 128)
+        age = (when - t[at]) / DAY + k["c"]
+        each = k["K"] * ((age + 30) ** (1 - k["p"]) - age ** (1 - k["p"])) / (1 - k["p"])
+        r = got[n]
+        assert r.parents == len(at) and abs(r.event_lambda - (each * space).sum()) <= 1e-9 * (each * space).sum()
+        assert abs(r.error_estimate - (each * gap).sum()) <= 1e-6 * (each * gap).sum() + 1e-14
+    assert len(got) == 41 and got[99].parents == 0 and max(r.parents for r in got.values()) > 50
+
+
 def test_the_baseline_joins_its_labels_once(spark, sf):
     from quakelode.plans.learning import m2_logistic_baseline
 
