@@ -13,7 +13,7 @@ from quakelode.functions.times import date_seconds, day_of, month_index
 from quakelode.operators.bands import band_names, band_sums
 from quakelode.operators.neighbors import neighbour_pairs
 
-CELL = ["row", "col"]
+CELL, PLACE = ["row", "col"], ["latitude", "longitude"]
 
 
 def near_events(cells: DataFrame, events: DataFrame, radius_km: float = RADIUS_KM) -> DataFrame:
@@ -39,6 +39,15 @@ def _within(days: float) -> Column:
     return F.col("issue_t") - F.col("t") <= days * DAY
 
 
+def _known_at_issues(events: DataFrame, issues: DataFrame) -> DataFrame:
+    return _at_issues(events, issues, 0, 13).where("t < issue_t").where(_within(max(COUNT_DAYS)))
+
+
+def _windowed(found: DataFrame, cells: DataFrame, issues: DataFrame) -> DataFrame:
+    zero = {f"count_{d}d": 0 for d in COUNT_DAYS} | {f"max_mag_{d}d": 0.0 for d in MAGNITUDE_DAYS}
+    return spine(cells.select(*CELL), issues).join(found, [*CELL, "issue_date"], "left").fillna(zero)
+
+
 def window_features(near: DataFrame, cells: DataFrame, issues: DataFrame, fault_col: str | None = None) -> DataFrame:
     """Counts and largest magnitudes of near events before each issue date, for every cell and date (0 without any).
 
@@ -46,13 +55,49 @@ def window_features(near: DataFrame, cells: DataFrame, issues: DataFrame, fault_
     after its own, so one expansion and one aggregation serve all dates and windows. fault_col: near has the fault
     distance of each event; then mean distances too, null without events.
     """
-    known = _at_issues(near, issues, 0, 13).where("t < issue_t").where(_within(max(COUNT_DAYS)))
     aggs = [F.count_if(_within(d)).alias(f"count_{d}d") for d in COUNT_DAYS] + [F.max(F.when(_within(d), F.col("magnitude"))).alias(f"max_mag_{d}d") for d in MAGNITUDE_DAYS]
     if fault_col:
         aggs += [F.avg(F.when(_within(d), F.col(fault_col))).alias(f"fault_mean_{d}d") for d in MAGNITUDE_DAYS]
-    found = known.groupBy(*CELL, "issue_date").agg(*aggs)
-    zero = {f"count_{d}d": 0 for d in COUNT_DAYS} | {f"max_mag_{d}d": 0.0 for d in MAGNITUDE_DAYS}
-    return spine(cells.select(*CELL), issues).join(found, [*CELL, "issue_date"], "left").fillna(zero)
+    return _windowed(_known_at_issues(near, issues).groupBy(*CELL, "issue_date").agg(*aggs), cells, issues)
+
+
+def near_places(cells: DataFrame, events: DataFrame, radius_km: float = RADIUS_KM) -> DataFrame:
+    """(row, col, latitude, longitude): each distinct place of events near each cell, written once.
+
+    A catalogue has far fewer places than events; so what events give is summed by place first, and only places meet cells.
+    """
+    from quakelode.sources.catalog import written
+
+    places = events.select(*PLACE).distinct()
+    pairs = neighbour_pairs(cells.select(*CELL, *PLACE), places, radius_km, broadcast_left=True)
+    return written(pairs.select(*CELL, *(F.col(f"r_{c}").alias(c) for c in PLACE)), "near-places")
+
+
+def place_windows(places: DataFrame, events: DataFrame, cells: DataFrame, issues: DataFrame, fault_col: str | None = None) -> DataFrame:
+    """The rows of window_features() from near_places: windows are summed by place and issue date, then by cell.
+
+    fault_col: places have the fault distance.
+    """
+    rows = events.select(*PLACE, "t", "magnitude")
+    aggs = [F.count_if(_within(d)).alias(f"count_{d}d") for d in COUNT_DAYS] + [F.max(F.when(_within(d), F.col("magnitude"))).alias(f"max_mag_{d}d") for d in MAGNITUDE_DAYS]
+    # dealt by place before the expansion to dates, which then needs no shuffle of its own
+    dealt = rows.join(F.broadcast(_span(issues)), (F.col("t") < F.col("__until")) & (F.col("t") >= F.col("__since"))).select(rows.columns).repartition(_tasks(events), *PLACE)
+    parts = _known_at_issues(dealt, issues).groupBy(*PLACE, "issue_date").agg(*aggs).join(places, PLACE)
+    merged = [F.sum(f"count_{d}d").alias(f"count_{d}d") for d in COUNT_DAYS] + [F.max(f"max_mag_{d}d").alias(f"max_mag_{d}d") for d in MAGNITUDE_DAYS]
+    if fault_col:
+        for d in MAGNITUDE_DAYS:
+            n = F.when(F.col(fault_col).isNotNull(), F.col(f"count_{d}d"))
+            merged.append(F.try_divide(F.sum(n * F.col(fault_col)), F.sum(n)).alias(f"fault_mean_{d}d"))
+    return _windowed(parts.groupBy(*CELL, "issue_date").agg(*merged), cells, issues)
+
+
+def _tasks(rows: DataFrame) -> int:
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _span(issues: DataFrame) -> DataFrame:
+    """One row: events from __since to __until (exclusive) can be in a window of an issue date."""
+    return issues.agg((F.min("issue_t") - int(max(COUNT_DAYS)) * DAY).alias("__since"), F.max("issue_t").alias("__until"))
 
 
 def recency(near: DataFrame, cells: DataFrame, issues: DataFrame) -> DataFrame:
@@ -68,18 +113,49 @@ def recency(near: DataFrame, cells: DataFrame, issues: DataFrame) -> DataFrame:
     return rows.withColumn("log_recency", F.log1p(F.coalesce(days, F.lit(NO_EVENT_DAYS)))).where("kind = 0").select(*CELL, "issue_date", "log_recency")
 
 
+def place_recency(places: DataFrame, events: DataFrame, cells: DataFrame, issues: DataFrame) -> DataFrame:
+    """The rows of recency() from near_places: of a place only the last event before each issue date since the one before it."""
+    day = F.floor(F.col("t") / DAY)
+    own = issues.select((F.col("issue_t") / DAY).cast("long").alias("until")).distinct()
+    turns = own.withColumn("since", F.coalesce(F.lag("until").over(Window.orderBy("until")), F.col("until") - 1))
+    # each day of the calendar with the first issue date after it; days before the calendar count as its first
+    turns = turns.select(F.explode(F.sequence("since", F.col("until") - 1)).alias("turn"), "until")
+    first = own.agg(F.min("until").alias("__first"))
+    rows = events.select(*PLACE, "t").crossJoin(F.broadcast(first)).withColumn("turn", F.greatest(day, F.col("__first") - 1))
+    last = rows.join(F.broadcast(turns), "turn").groupBy(*PLACE, "until").agg(F.max("t").alias("t"))
+    near = last.join(places, PLACE).groupBy(*CELL, "until").agg(F.max("t").alias("t"))
+    return recency(near, cells, issues)
+
+
 def forward_labels(near: DataFrame, cells: DataFrame, issues: DataFrame, magnitude: float = TARGET_MAGNITUDE, strict: bool = False, days: int = WINDOW_DAYS) -> DataFrame:
     """Adds label: 1 if a near event of at least (strict: above) the magnitude comes after the issue date and within the days."""
-    big = near.where(F.col("magnitude") > magnitude if strict else F.col("magnitude") >= magnitude)
-    hit = _at_issues(big, issues, -(days // 28 + 1), 0).where("issue_t < t").where(F.col("t") - F.col("issue_t") <= days * DAY)
-    return spine(cells.select(*CELL), issues).join(hit.select(*CELL, "issue_date").distinct().withColumn("label", F.lit(1)), [*CELL, "issue_date"], "left").fillna({"label": 0})
+    hit = _ahead(near, issues, magnitude, strict, days).select(*CELL, "issue_date").distinct()
+    return _labelled(hit, cells, issues)
+
+
+def _ahead(events: DataFrame, issues: DataFrame, magnitude: float, strict: bool, days: int) -> DataFrame:
+    big = events.where(F.col("magnitude") > magnitude if strict else F.col("magnitude") >= magnitude)
+    return _at_issues(big, issues, -(days // 28 + 1), 0).where("issue_t < t").where(F.col("t") - F.col("issue_t") <= days * DAY)
+
+
+def _labelled(hit: DataFrame, cells: DataFrame, issues: DataFrame) -> DataFrame:
+    return spine(cells.select(*CELL), issues).join(hit.withColumn("label", F.lit(1)), [*CELL, "issue_date"], "left").fillna({"label": 0})
+
+
+def place_labels(places: DataFrame, events: DataFrame, cells: DataFrame, issues: DataFrame, magnitude: float = TARGET_MAGNITUDE, strict: bool = False, days: int = WINDOW_DAYS) -> DataFrame:
+    """The rows of forward_labels() from near_places."""
+    hit = _ahead(events.select(*PLACE, "t", "magnitude"), issues, magnitude, strict, days).select(*PLACE, "issue_date").distinct()
+    return _labelled(hit.join(places, PLACE).select(*CELL, "issue_date").distinct(), cells, issues)
 
 
 def examples(cells: DataFrame, issues: DataFrame, history: DataFrame, own: DataFrame) -> DataFrame:
-    """The feature table of a split: counts, magnitudes, recency from history, labels from the split's own events."""
-    near = near_events(cells, history)
-    out = window_features(near, cells, issues).join(recency(near, cells, issues), [*CELL, "issue_date"])
-    return out.join(forward_labels(near_events(cells, own), cells, issues).select(*CELL, "issue_date", "label"), [*CELL, "issue_date"])
+    """The feature table of a split: counts, magnitudes, recency from history, labels from the split's own events.
+
+    own is a part of history, so one table of near places serves both.
+    """
+    places = near_places(cells, history)
+    out = place_windows(places, history, cells, issues).join(place_recency(places, history, cells, issues), [*CELL, "issue_date"])
+    return out.join(place_labels(places, own, cells, issues).select(*CELL, "issue_date", "label"), [*CELL, "issue_date"])
 
 
 def _followed_in_cell(events: DataFrame, big: DataFrame, radius_km: float, days: int) -> DataFrame:

@@ -36,6 +36,12 @@ def _near(spark: SparkSession, sf_dir: str, splits: str = "test") -> DataFrame:
     return features.near_events(_cells(spark, sf_dir), s)
 
 
+def _known(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(near places, complete events known to the test split, cells, issue dates)."""
+    s, cells = catalog.complete(catalog.history(derived.seismic(spark, sf_dir), "test")), _cells(spark, sf_dir)
+    return features.near_places(cells, s), s, cells, _issues(spark, "test")
+
+
 def _issues(spark: SparkSession, split: str) -> DataFrame:
     return grid.issue_calendar(spark, *ISSUES[split])
 
@@ -93,18 +99,18 @@ _WINDOWS = WITH + CELLS + PAIRS + issues_sql("test") + HISTORY_TEST + SPINE + f"
 
 @query(_WINDOWS + f" select {DAY_SQL}, " + ", ".join(f"coalesce(count_{d}d, 0) as count_{d}d" for d in (7, 30, 90, 365)) + " from spine left join w using (row, col, issue_date)")
 def a1_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = features.window_features(_near(spark, sf_dir), _cells(spark, sf_dir), _issues(spark, "test"))
+    w = features.place_windows(*_known(spark, sf_dir))
     return _keyed(w, *(f"count_{d}d" for d in (7, 30, 90, 365)))
 
 
 @query(WITH + CELLS + PAIRS + issues_sql("test") + HISTORY_TEST + SPINE + f", w as (select row, col, issue_date, min(age) as age from known group by all) select {DAY_SQL}, round(ln(1 + coalesce(age/86400.0::double, 999.0::double)), 6) as log_recency from spine left join w using (row, col, issue_date)")
 def a2_recency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _keyed(features.recency(_near(spark, sf_dir), _cells(spark, sf_dir), _issues(spark, "test")).withColumn("log_recency", rounded_to(F.col("log_recency"), 6)), "log_recency")
+    return _keyed(features.place_recency(*_known(spark, sf_dir)).withColumn("log_recency", rounded_to(F.col("log_recency"), 6)), "log_recency")
 
 
 @query(_WINDOWS + f" select {DAY_SQL}, " + ", ".join(f"coalesce(max_mag_{d}d, 0.0::double) as max_mag_{d}d" for d in (30, 90, 365)) + " from spine left join w using (row, col, issue_date)")
 def a3_largest_magnitudes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = features.window_features(_near(spark, sf_dir), _cells(spark, sf_dir), _issues(spark, "test"))
+    w = features.place_windows(*_known(spark, sf_dir))
     return _keyed(w, *(f"max_mag_{d}d" for d in (30, 90, 365)))
 
 
@@ -113,8 +119,8 @@ _LABELS = _LABELS.replace("(h.issue_date is not null)::int as label from spine l
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = features.near_events(_cells(spark, sf_dir), catalog.complete(derived.seismic(spark, sf_dir).where("split = 'test'")))
-    return features.forward_labels(near, _cells(spark, sf_dir), _issues(spark, "test"))
+    s, cells = catalog.complete(derived.seismic(spark, sf_dir).where("split = 'test'")), _cells(spark, sf_dir)
+    return features.place_labels(features.near_places(cells, s), s, cells, _issues(spark, "test"))
 
 
 @query(_LABELS + f" select {DAY_SQL}, label from labels")
@@ -201,9 +207,9 @@ def a20_coast_elevation_correlation(spark: SparkSession, sf_dir: str) -> DataFra
 @query(_LINES.replace("with ", "with ", 1) + CELLS + PAIRS + issues_sql("test") + HISTORY_TEST + SPINE + f", fe as ({to_lines_sql('seismic', 'event_id', 'faults', 5)}), fc as ({to_lines_sql('cells', 'row, col', 'faults', 5)}), w as (select row, col, issue_date, " + ", ".join(f"avg(km) filter (age <= {d}*86400) as f{d}" for d in (30, 90, 365)) + f" from known join fe using (event_id) group by all) select {DAY_SQL}, " + ", ".join(f"round(coalesce(f{d}, km), 6) as fault_mean_{d}d" for d in (30, 90, 365)) + " from spine left join w using (row, col, issue_date) join fc using (row, col)")
 def a4_dynamic_fault_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg = polylines.segments(derived.faults(spark, sf_dir))
-    s = grid.nearest_line_km(catalog.complete(catalog.history(derived.seismic(spark, sf_dir), "test")), seg, ["event_id"], "fault_km", 5.0)
-    cells = _cells(spark, sf_dir)
-    w = features.window_features(features.near_events(cells, s), cells, _issues(spark, "test"), "fault_km")
+    places, s, cells, issues = _known(spark, sf_dir)
+    lines = grid.nearest_line_km(places.select(*features.PLACE).distinct(), seg, features.PLACE, "fault_km", 5.0)
+    w = features.place_windows(places.join(lines, features.PLACE), s, cells, issues, "fault_km")
     out = w.join(grid.nearest_line_km(cells, seg, ["row", "col"], "static", 5.0).select("row", "col", "static"), ["row", "col"])
     return _keyed(out.withColumns({f"fault_mean_{d}d": rounded_to(F.coalesce(F.col(f"fault_mean_{d}d"), F.col("static")), 6) for d in (30, 90, 365)}), *(f"fault_mean_{d}d" for d in (30, 90, 365)))
 

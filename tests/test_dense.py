@@ -94,3 +94,39 @@ def test_parents_as_rows_have_few_copies_and_equal_brute_force(spark, monkeypatc
     assert all(r.age == (r.t - r.r_t) / DAY and r.r_magnitude == rows[r.r_event_id][4] for r in got)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Join Inner" not in plan and "MapInArrow" in plan  # no side meets the other by 45 copies of each target
+
+
+def test_features_by_place_equal_those_by_event(spark):
+    from quakelode.operators import grid
+
+    rng = np.random.default_rng(6)
+    spots = [(float(a), float(o)) for a, o in rng.normal((40.0, -80.0), (1.0, 1.3), (60, 2)).round(2)]
+    rows = [(k, int(rng.integers(9000 * DAY, 10100 * DAY)), *spots[int(rng.integers(0, 60))], float(rng.integers(100, 400)) / 100) for k in range(1500)]
+    rows += [(2000 + k, int(k * DAY), *spots[k], 2.5) for k in range(5)] + [(3000, 9862 * DAY, *spots[0], 3.0), (3001, 9861 * DAY, *spots[1], 3.9), (3002, None, 40.0, -80.0, 2.0), (3003, 9861 * DAY, None, -80.0, 2.0)]
+    df = spark.createDataFrame(rows, EVENTS)
+    line = spark.createDataFrame([(s[0], s[1], float(k)) for k, s in enumerate(spots)], "latitude double, longitude double, far double")
+    cells, issues = grid.active_cells(df.where("latitude is not null")), grid.issue_calendar(spark, "1996-01-01", "1997-03-01")
+    near, places = features.near_events(cells, df.join(line, ["latitude", "longitude"], "left")), features.near_places(cells, df)
+    assert places.count() < near.count() / 10
+    key = ["row", "col", "issue_date"]
+    pairs = [
+        (features.window_features(near, cells, issues, "far"), features.place_windows(places.join(line, ["latitude", "longitude"], "left"), df, cells, issues, "far")),
+        (features.recency(near, cells, issues), features.place_recency(places, df, cells, issues)),
+        (features.forward_labels(near, cells, issues), features.place_labels(places, df, cells, issues)),
+    ]
+    for old, new in pairs:
+        a, b = (x.toPandas().sort_values(key).reset_index(drop=True) for x in (old, new))
+        assert list(a.columns) == list(b.columns) and len(a) == len(b) > 100
+        for c in a.columns:
+            assert np.allclose(a[c], b[c], rtol=1e-12, equal_nan=True) if c.startswith("fault") else (a[c] == b[c]).all(), c
+
+
+def test_wide_features_join_places_and_not_events(spark, sf, monkeypatch):
+    from quakelode.plans import cells, learning
+
+    def refuse(*_, **__):
+        raise AssertionError("events met cells one by one")
+
+    monkeypatch.setattr(features, "near_events", refuse)
+    assert cells.m7_wide_features(spark, sf).columns
+    assert learning._examples(spark, sf, "test", learning.derived.seismic(spark, sf)).columns
