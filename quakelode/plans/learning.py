@@ -209,8 +209,8 @@ def grid_forecast(spark: SparkSession, sf_dir: str, rounds: int = 400) -> tuple[
     calibrated = learn.calibrated(raw, learn.scored(model, judge, columns))
     cells = grid.scored_cells(spark, catalog.history(derived.seismic(spark, sf_dir), "test"))
     dates = _issues(spark, "judge")
-    near = features.near_events(cells, known)
-    table = features.window_features(near, cells, dates).join(features.recency(near, cells, dates), ["row", "col", "issue_date"]).join(cells, ["row", "col"])
+    places = features.near_places(cells, known)
+    table = features.place_windows(places, known, cells, dates).join(features.place_recency(places, known, cells, dates), ["row", "col", "issue_date"]).join(cells, ["row", "col"])
     return raw, calibrated, learn.calibrated(raw, learn.scored(model, table, columns))
 
 
