@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 import math
-import pickle
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import PCA, Imputer, VectorAssembler
@@ -19,8 +20,8 @@ from quakelode.constants import CLIP_GRID
 from quakelode.operators import boosting, metrics
 from quakelode.operators.selection import percentiles
 
-#: Train rows on which a sweep fits its settings.
-SWEEP_ROWS = 50_000
+#: Cells of a sweep that are packed together.
+CELLS = 500_000
 COUNTS = ["count_7d", "count_30d", "count_90d", "count_365d", "log_recency"]
 #: Columns of one wide feature table that each experiment uses.
 FEATURE_SETS = {
@@ -105,43 +106,81 @@ def calibrated(fit_on: DataFrame, df: DataFrame, clip: float = CLIP_GRID) -> Dat
     return out.withColumn("p", metrics.clipped(F.col("prediction"), clip)).drop("prediction")
 
 
-def sweep(train: DataFrame, test: DataFrame, columns: Sequence[str], grid: Sequence[dict], sample: int = SWEEP_ROWS) -> DataFrame:
-    """(rounds, depth, rate, l2, ig_bits, auc) of each setting, scored on all rows of the later split, which is fixed in time.
+def sweep(train: DataFrame, test: DataFrame, columns: Sequence[str], grid: Sequence[dict]) -> DataFrame:
+    """(rounds, depth, rate, l2, ig_bits, auc) of each setting, fitted on all train rows and scored on all test rows.
 
-    Settings are fitted side by side, one a task, on the same ``sample`` train rows at most (those with the smallest
-    hashes); settings that differ in rounds alone are one fit. Scores are taken from all test rows.
+    Columns are cut at exact quantiles of all train rows. Rows that fall into the same bins are one cell with its numbers of
+    rows and of labels 1, from which trees and scores come out as from the single rows; so what a task holds follows the
+    number of cells, which columns of BINS bins bound. Settings are fitted and scored side by side, one a task; settings that
+    differ in rounds alone are one fit. Missing values are in the last bin.
     """
-    spark, base = train.sparkSession, train.agg(F.avg("label")).first()[0]
-    rows = train.select(*(F.col(c).cast("double").alias(c) for c in columns), F.col("label").cast("double").alias("label"))
-    place = F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 32))
-    few = rows.where(place <= (1 << 32) * 2.0 * sample / max(1, rows.count())).orderBy(place, *rows.columns).limit(sample).toPandas()
-    x, y = few[list(columns)].to_numpy(), few["label"].to_numpy()
-    edges = boosting.quantile_edges(x)
-    data = spark.sparkContext.broadcast((boosting.binned(x, edges), y))
-    fits = sorted({(g["depth"], g["rate"], g["l2"]) for g in grid})
-    after = {f: sorted({g["rounds"] for g in grid if (g["depth"], g["rate"], g["l2"]) == f}) for f in fits}
-
-    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from quakelode.sources.catalog import written
+
+    spark, f = train.sparkSession, len(columns)
+    share, n = train.agg(F.avg("label"), F.count("label")).first()
+    if not n:
+        raise ValueError("there must be train rows")
+    points = [k / boosting.BINS for k in range(1, boosting.BINS)]
+    cuts = percentiles(train, [], {f"c{k}": F.col(c) for k, c in enumerate(columns)}, points).first() or [None] * f
+    edges = [np.unique(c if c is not None else np.zeros(0)) for c in cuts]
+    codes = [f"c{k}" for k in range(f)]
+
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k, depth, rate, l2 in b.itertuples(index=False):
-                trees = boosting.grow(*data.value, max(after[depth, rate, l2]), rate, depth, l2)
-                yield pd.DataFrame({"k": [k], "trees": [pickle.dumps(trees)]})
-
-    table = spark.createDataFrame([(k, *f) for k, f in enumerate(fits)], "k int, depth int, rate double, l2 double")
-    grown = {r.k: pickle.loads(r.trees) for r in table.repartitionByRange(len(fits), "k").mapInPandas(fit, "k int, trees binary").collect()}
-    held = spark.sparkContext.broadcast(grown)
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            x = [np.asarray(b.column(k).cast(pa.float64()).to_numpy(zero_copy_only=False)) for k in range(f)]
+            found = [pa.array(np.searchsorted(e, v, "left").astype(np.int8)) for e, v in zip(edges, x, strict=True)]
+            yield pa.RecordBatch.from_arrays([*found, b.column(f)], names=[*codes, "label"])
+
+    def cells(rows: DataFrame) -> DataFrame:
+        typed = rows.where("label is not null").select(*(F.col(c).cast("double").alias(c) for c in columns), F.col("label").cast("int").alias("label"))
+        held = typed.mapInArrow(binned, ", ".join(f"{c} byte" for c in codes) + ", label int")
+        return held.groupBy(*codes).agg(F.count("*").alias("n"), F.sum("label").cast("long").alias("y")).mapInArrow(_packed_cells, "data binary")
+
+    both = cells(train).withColumn("split", F.lit(0)).unionByName(cells(test).withColumn("split", F.lit(1)))
+    packed = written(both, "sweep-cells")
+    # deep trees first, as they take longest
+    fits = sorted({(g["depth"], g["rate"], g["l2"]) for g in grid}, key=lambda x: (-x[0], *x[1:]))
+    after = {x: sorted({g["rounds"] for g in grid if (g["depth"], g["rate"], g["l2"]) == x}) for x in fits}
+
+    def counted(tables: list[pa.Table]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        out = [np.concatenate([np.zeros(0, kind), *(t.column(c).to_numpy() for t in tables)]) for c, kind in [*((c, np.uint8) for c in codes), ("y", float), ("n", float)]]
+        return np.stack(out[:f], 1).astype(np.uint8), *out[f:]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list[pa.Table], list[pa.Table]]] = {}
         for b in batches:
-            codes = boosting.binned(b[list(columns)].to_numpy(dtype=float), edges)
-            for k, f in enumerate(fits):
-                for rounds, p in zip(after[f], boosting.probabilities(held.value[k], codes, after[f]), strict=True):
-                    yield pd.DataFrame({"k": k, "rounds": rounds, "y": b["label"].to_numpy(), "p": p})
-
-    scored = test.select(*columns, F.col("label").cast("int").alias("label")).mapInPandas(score, "k int, rounds int, y int, p double")
-    by = ["k", "rounds"]
-    found = metrics.information_gain(scored, F.lit(base), by).join(metrics.roc_auc(scored, by), by)
-    return found.join(F.broadcast(table), "k").select("rounds", "depth", "rate", "l2", "ig_bits", "auc")
+            for k, split, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                with pa.ipc.open_stream(data.as_buffer()) as stream:
+                    held.setdefault(k, ([], []))[split].append(stream.read_all())
+        for k in sorted(held):
+            depth, rate, l2 = fits[k]
+            old, new = (counted(tables) for tables in held.pop(k))
+            trees = boosting.grow(*old[:2], max(after[fits[k]]), rate, depth, l2, old[2])
+            scores = [metrics.scores_of_counts(p, new[1], new[2] - new[1], share) for p in boosting.probabilities(trees, new[0], after[fits[k]])]
+            bits, auc = ([float(x) for x in v] for v in zip(*scores, strict=True))
+            many = len(scores)
+            yield pa.RecordBatch.from_arrays([pa.array(after[fits[k]], pa.int32()), pa.array([depth] * many, pa.int32()), *(pa.array([v] * many, pa.float64()) for v in (rate, l2)), pa.array(bits, pa.float64()), pa.array(auc, pa.float64())], names=["rounds", "depth", "rate", "l2", "ig_bits", "auc"])
+
+    table = spark.createDataFrame([(k,) for k in range(len(fits))], "k int")
+    # every fit needs all cells
+    dealt = packed.crossJoin(F.broadcast(table)).select("k", "split", "data").repartitionByRange(len(fits), "k")
+    return dealt.mapInArrow(run, "rounds int, depth int, rate double, l2 double, ig_bits double, auc double")
+
+
+def _packed_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(data): cells, a part's in the order of their bins, in compressed Arrow batches of CELLS or so."""
+    held, n = [], 0
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            held.append(batch)
+            n += batch.num_rows
+        if n and (batch is None or n >= CELLS):
+            table, sink = pa.Table.from_batches(held), pa.BufferOutputStream()
+            table = table.sort_by([(c, "ascending") for c in table.column_names])
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(table)
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["data"])
+            held, n = [], 0
 
 
 def label_balance(df: DataFrame, label: str = "label", by: Sequence[str] = ("split",)) -> DataFrame:

@@ -250,7 +250,7 @@ def settings_of_the_sweep() -> list[dict]:
 def m8_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = derived.seismic(spark, sf_dir)
     rows = features.event_labels(s, s).select("event_id", "split", "label", "latitude", "longitude", "depth_km", "magnitude")
-    rows = catalog.written(rows, "sweep")
+    rows = catalog.written(rows.where("split in ('train', 'test')"), "sweep")
     return learn.sweep(rows.where("split = 'train'"), rows.where("split = 'test'"), ["latitude", "longitude", "depth_km", "magnitude"], settings_of_the_sweep())
 
 
