@@ -120,6 +120,11 @@ def duplicate_events(events: DataFrame) -> DataFrame:
     return events.groupBy("time", "latitude", "longitude", "magnitude").agg(F.count("*").alias("n")).where("n > 1")
 
 
+def without_repeats(events: DataFrame) -> DataFrame:
+    """(event_id, t, latitude, longitude, magnitude), events of one time, place and magnitude once, with the smallest of their ids."""
+    return events.groupBy("t", "latitude", "longitude", "magnitude").agg(F.min("event_id").alias("event_id"))
+
+
 def chronological(events: DataFrame, keys: Sequence[str] = ("split",)) -> DataFrame:
     """Adds ordinal: the place of each event in its split by time, then id.
 

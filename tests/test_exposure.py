@@ -68,3 +68,17 @@ def test_fit_queries_run_on_the_larger_tables(spark):
     assert fit.integration.error <= 0.002 * fit.integration.exposure and fit.fit.log_likelihood >= fit.fit.original_log_likelihood
     report = queries.queries()["s8_fit_report"](spark, LARGER).first()
     assert report.exposure == pytest.approx(fit.integration.exposure) and report.parent_count == fit.training.parent_count
+
+
+def test_the_registered_fit_resolves_repeated_events(spark, sf, tmp_path):
+    """Keys 17 712 000 apart give the same second, place and magnitude, so that tables of some ten million orders hold repeats."""
+    from pyspark.sql import functions as F
+
+    from quakelode.plans.events import e5_amplitude_fit
+    from quakelode.sources import catalog, derived
+
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    orders.unionByName(orders.where("o_orderkey % 5 = 0").withColumn("o_orderkey", F.col("o_orderkey") + 17_712_000)).write.parquet(f"{tmp_path}/orders.parquet")
+    assert catalog.duplicate_events(derived.seismic(spark, str(tmp_path))).count() > 100
+    got, want = (e5_amplitude_fit(spark, d).first() for d in (str(tmp_path), sf))
+    assert got.training == want.training and abs(got.fit.log_likelihood / want.fit.log_likelihood - 1) < 1e-9 and abs(got.fit.mu / want.fit.mu - 1) < 1e-6
