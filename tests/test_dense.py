@@ -130,3 +130,59 @@ def test_wide_features_join_places_and_not_events(spark, sf, monkeypatch):
     monkeypatch.setattr(features, "near_events", refuse)
     assert cells.m7_wide_features(spark, sf).columns
     assert learning._examples(spark, sf, "test", learning.derived.seismic(spark, sf)).columns
+
+
+def crowded(n, places, days, seed):
+    """Targets and parents of some places each, so that places hold many: arrays on the unit sphere, parents in the order of time."""
+    rng = np.random.default_rng(seed)
+
+    def rows(many, spread):
+        lat, lon = (np.radians(c + rng.normal(0, spread, places))[rng.integers(0, places, many)] for c in (40.0, -80.0))
+        t = np.sort(rng.integers(0, days * DAY, many)).astype(float)
+        return {"t": t, "x": np.cos(lat) * np.cos(lon), "y": np.cos(lat) * np.sin(lon), "z": np.sin(lat), "magnitude": rng.integers(176, 450, many) / 100, "lat": np.degrees(lat), "lon": np.degrees(lon)}
+
+    return rows(n, 0.1), rows(20 * n, 1.2)
+
+
+def test_sums_by_panels_of_time_equal_those_by_pairs(monkeypatch):
+    compared = []
+    real = etas.near_blocks
+    monkeypatch.setattr(etas, "near_blocks", lambda *a: compared.append(1) or real(*a))
+    for seed, (n, places, days) in enumerate([(300, 3, 700), (200, 8, 200), (80, 40, 900)]):
+        targets, parents = crowded(n, places, days, seed)
+        targets["t"][:40] = parents["t"][:40]  # simultaneous ones, and ages of just the days
+        targets["t"][-20:] = parents["t"][-40:-20] + 180 * DAY
+        for kept in (512, 2):
+            monkeypatch.setattr(etas, "PLACES_HELD", kept)
+            monkeypatch.setattr(etas, "_panel_width", lambda *_: 9.7 * DAY)
+            total, count = etas.kernel_sums(targets, parents, PAPER, 5.0, 180.0, 200.0)
+            assert not compared
+            for i in range(0, n, 7):
+                age = (targets["t"][i] - parents["t"]) / DAY
+                km = kilometres((parents["lat"], parents["lon"]), (np.full(len(age), targets["lat"][i]), np.full(len(age), targets["lon"][i])))
+                at = (age > 0) & (age < 180) & (km < 200)
+                each = (age[at] + PAPER["c"]) ** -PAPER["p"] * (km[at] ** 2 * np.exp(-PAPER["a"] * (parents["magnitude"][at] - 5)) + PAPER["d"]) ** -PAPER["q"]
+                assert count[i] == at.sum() and abs(total[i] - each.sum()) <= 1e-12 * each.sum(), (seed, i)
+
+
+def test_crowded_places_meet_each_parent_once_a_place(monkeypatch):
+    targets, parents = crowded(4000, 20, 900, 3)
+    pairs = []
+    real = etas.near_blocks
+    monkeypatch.setattr(etas, "near_blocks", lambda some, *a: pairs.append(len(some["t"])) or real(some, *a))
+    _, count = etas.kernel_sums(targets, parents, PAPER, 5.0, 180.0, 200.0)
+    assert sum(pairs) < 100 and count.sum() > 1e7  # all but a few targets are summed by panels
+    assert etas._panel_width(30, 30, 3000, 900.0 * DAY, 180.0 * DAY) is None  # where places hold one target, pairs take less
+
+
+def test_sums_over_parents_shuffle_few_bytes_an_event(spark, monkeypatch):
+    monkeypatch.setattr(etas, "SUMMED", 50)
+    rows, df = dense(spark, 500, 7)
+    out = etas.intensity(df.select("event_id", "t", "latitude", "longitude"), df)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Join Inner" not in plan  # parents aren't copied as rows, nor sums joined to targets
+    got = {r.event_id: r.parents for r in out.collect()}
+    t, la, lo, m = (np.array([r[k] for r in rows]) for k in (1, 2, 3, 4))
+    for k in range(0, 500, 9):
+        at = (t < t[k]) & (t[k] - t < 180 * DAY) & (m > 1.75) & (kilometres((la, lo), (np.full(len(la), la[k]), np.full(len(la), lo[k]))) < 200)
+        assert got[k] == at.sum()
