@@ -186,3 +186,19 @@ def test_sums_over_parents_shuffle_few_bytes_an_event(spark, monkeypatch):
     for k in range(0, 500, 9):
         at = (t < t[k]) & (t[k] - t < 180 * DAY) & (m > 1.75) & (kilometres((la, lo), (np.full(len(la), la[k]), np.full(len(la), lo[k]))) < 200)
         assert got[k] == at.sum()
+
+
+def test_parents_shuffle_few_bytes_an_event(spark):
+    """Targets and copies of parents were rows, which took 278 bytes an event in the shuffle."""
+    sc, n, rng = spark.sparkContext, 40_000, np.random.default_rng(8)
+
+    def shuffled():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+    columns = np.arange(n), rng.integers(0, 2000 * DAY, n), rng.uniform(25, 50, n), rng.uniform(-90, -65, n), rng.integers(176, 400, n) / 100
+    df = spark.createDataFrame([(int(a), int(b), float(c), float(d), float(e)) for a, b, c, d, e in zip(*columns, strict=True)], EVENTS)
+    before = shuffled()
+    assert etas.parents_of(df, df).selectExpr("count(*)").first()[0] > n
+    assert 0 < shuffled() - before < 180 * n
