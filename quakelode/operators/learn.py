@@ -142,21 +142,25 @@ def sweep(train: DataFrame, test: DataFrame, columns: Sequence[str], grid: Seque
     fits = sorted({(g["depth"], g["rate"], g["l2"]) for g in grid}, key=lambda x: (-x[0], *x[1:]))
     after = {x: sorted({g["rounds"] for g in grid if (g["depth"], g["rate"], g["l2"]) == x}) for x in fits}
 
-    def counted(tables: list[pa.Table]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        out = [np.concatenate([np.zeros(0, kind), *(t.column(c).to_numpy() for t in tables)]) for c, kind in [*((c, np.uint8) for c in codes), ("y", float), ("n", float)]]
-        return np.stack(out[:f], 1).astype(np.uint8), *out[f:]
+    def counted(table: pa.Table) -> list[np.ndarray]:
+        # counts are small numbers mostly, and are held as such
+        cell, *counts = np.stack([table.column(c).to_numpy().astype(np.uint8) for c in codes], 1), *(table.column(c).to_numpy() for c in ("y", "n"))
+        return [cell, *(v.astype(np.min_scalar_type(int(v.max(initial=0)))) for v in counts)]
+
+    def joined(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+        return [np.concatenate([empty, *(p.pop(0) for p in parts)]) for empty in (np.zeros((0, f), np.uint8), np.zeros(0, np.uint8), np.zeros(0, np.uint8))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list[pa.Table], list[pa.Table]]] = {}
+        held: dict[int, tuple[list, list]] = {}
         for b in batches:
             for k, split, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 with pa.ipc.open_stream(data.as_buffer()) as stream:
-                    held.setdefault(k, ([], []))[split].append(stream.read_all())
+                    held.setdefault(k, ([], []))[split].append(counted(stream.read_all()))
         for k in sorted(held):
             depth, rate, l2 = fits[k]
-            old, new = (counted(tables) for tables in held.pop(k))
+            old, new = (joined(parts) for parts in held.pop(k))
             trees = boosting.grow(*old[:2], max(after[fits[k]]), rate, depth, l2, old[2])
-            scores = [metrics.scores_of_counts(p, new[1], new[2] - new[1], share) for p in boosting.probabilities(trees, new[0], after[fits[k]])]
+            scores = [metrics.scores_of_counts(p, new[1].astype(float), new[2] - new[1].astype(float), share) for p in boosting.probabilities(trees, new[0], after[fits[k]])]
             bits, auc = ([float(x) for x in v] for v in zip(*scores, strict=True))
             many = len(scores)
             yield pa.RecordBatch.from_arrays([pa.array(after[fits[k]], pa.int32()), pa.array([depth] * many, pa.int32()), *(pa.array([v] * many, pa.float64()) for v in (rate, l2)), pa.array(bits, pa.float64()), pa.array(auc, pa.float64())], names=["rounds", "depth", "rate", "l2", "ig_bits", "auc"])
